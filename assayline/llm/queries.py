@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, pii
+from . import exact_dedup, mixing, near_dedup, packing, pii, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,18 @@ def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"), tokens.vocabulary_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.vocabulary_path("word_bpe_49k.json"), limit=2048)
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2, percent=80)
 
@@ -36,6 +48,46 @@ SELECT doc_id,
 FROM documents
 """
 
+# Water filling: sources by cap over weight; the capped ones come first, the others share what is left.
+OP8_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t FROM documents
+), rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substring(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+         strlen(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters,
+         strlen(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS solid
+  FROM docs
+), keyed AS (
+  SELECT *, -ln(u) / (CASE WHEN solid = 0 THEN 0.01::DOUBLE ELSE greatest(0.01::DOUBLE, letters::DOUBLE / solid::DOUBLE) END) AS k FROM rows
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source
+), weighed AS (
+  SELECT *, 1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS w, 3 * source_size AS cap FROM sources
+), sums AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER up_to, 0))::BIGINT AS remaining, (sum(w) OVER onward)::BIGINT AS shares
+  FROM weighed
+  WINDOW up_to AS (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         onward AS (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), first_open AS (
+  SELECT remaining, shares FROM sums WHERE cap * shares > w * remaining ORDER BY cap / w, encode(source) NULLS LAST LIMIT 1
+), aims AS (
+  SELECT source, source_size,
+         CASE WHEN cap * shares <= w * remaining THEN cap::DOUBLE
+              ELSE (w * (SELECT remaining FROM first_open))::DOUBLE / (SELECT shares FROM first_open)::DOUBLE END AS target
+  FROM sums
+), epochs AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM aims
+), placed AS (
+  SELECT keyed.doc_id, keyed.size, e.source_size, e.target, e.epochs,
+         sum(size) OVER (PARTITION BY keyed.source ORDER BY k, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM keyed JOIN epochs e ON keyed.source IS NOT DISTINCT FROM e.source
+), chosen AS (
+  SELECT *, epochs + CASE WHEN epochs < 3 AND upto - size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END AS copies FROM placed
+)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM chosen
+"""
+
 
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
