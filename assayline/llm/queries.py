@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, pii, tokens
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, pii, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"), words_per_shingle=5)
+
+
 def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
