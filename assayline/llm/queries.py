@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, packing, pii, tokens
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, pii, tokens, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(doc_id: Column) -> Column:
+    """The rows that no label is learned from: crc32 of the id as text, modulo 5, is 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda i: ~held_out(i))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op2_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, default="allow")
+
+
 def op3_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"), words_per_shingle=5)
 
@@ -43,6 +67,27 @@ def op10_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+OP2_SQL = """
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut_off AS (
+  SELECT page_id, split_part(split_part(rest, '?', 1), '#', 1) AS rest FROM rests
+), split AS (
+  SELECT page_id,
+         translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path
+  FROM cut_off
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+  SELECT page_id, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost) DESC, length(rpath) DESC) AS r
+  FROM split JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT split.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM split LEFT JOIN (SELECT * FROM fits WHERE r = 1) f ON split.page_id = f.page_id
+"""
+
 OP5_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
