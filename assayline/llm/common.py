@@ -16,18 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster shares (``spark.checkpoint.dir``).
-
-    The files survive lost executors and Spark deletes them with the frame when
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on. Only where the setting
-    is absent, as in tests, a temporary folder is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``. Only where the
+    setting is absent, as in tests, a temporary folder is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder.
+
+    The files survive lost executors and Spark deletes them with the frame when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, packing, pii, tokens, toxicity, url_filter
-from .common import table
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, pii, tokens, toxicity, url_filter, warc
+from .common import cut, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,15 @@ def op3_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"), words_per_shingle=5)
 
 
+def op4_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    try:
+        index = cut(warc.captured(table(spark, sf_dir, "pages"), path, least_bytes=0))
+    finally:
+        warc.remove(spark, path)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -88,6 +98,21 @@ SELECT split.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM split LEFT JOIN (SELECT * FROM fits WHERE r = 1) f ON split.page_id = f.page_id
 """
 
+OP4_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), grouped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS largest FROM hashed
+)
+SELECT page_id, payload_bytes,
+       translate(to_base(('0x' || substr(h, 1, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(h, 11, 10))::BIGINT, 32, 8)
+                 || to_base(('0x' || substr(h, 21, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(h, 31, 10))::BIGINT, 32, 8),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = largest THEN NULL ELSE largest END AS refers_to
+FROM grouped
+"""
+
 OP5_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
