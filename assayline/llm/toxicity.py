@@ -216,3 +216,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
     return rows.mapInArrow(run, f"i {kind}, score double").select(F.col("i").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores less than ``below``.
+
+    Cases as for ``score``; rows are not moved between partitions.
+    """
+    arrow_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t or "") < below for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
