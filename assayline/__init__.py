@@ -1,0 +1 @@
+"""Declarative data quality on Spark DataFrames: checks, contracts, profiles, history."""
