@@ -154,7 +154,7 @@ def schema_types(spark, sf_dir):
 # --- freshness, volume, reference, custom -------------------------------------------
 
 
-@query("SELECT epoch(TIMESTAMP '2024-02-01') - epoch(max(ts)::TIMESTAMP) AS age FROM events")
+@query("SELECT (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(ts)::TIMESTAMP)) / 1000000.0::DOUBLE AS age FROM events")
 def freshness_events(spark, sf_dir):
     return fused(table(spark, sf_dir, "events"), Check("freshness", "ts"), age="age")
 
