@@ -48,3 +48,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def salt_of(spark: SparkSession, *cols: Column) -> Column:
     """As many salts as shuffle partitions: a hot key then spreads over all of them."""
     return F.pmod(F.xxhash64(*cols), F.lit(shuffle_partitions(spark)))
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows, which is counted;
+    else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df``, known to have ``rows`` rows, in no more partitions than ``each`` rows ask for."""
+    return df.coalesce(max(1, -(-rows // each)))

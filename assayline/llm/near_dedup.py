@@ -8,8 +8,9 @@ Only distinct shingle sets are banded. A bucket never expands into its pairs:
 1. every member is compared, on full sets, with one smaller member that it shares the
    most buckets with; the links make a forest whose trees are found by pointer jumping;
 2. in the buckets that still hold several trees, the members outside the largest one
-   are compared with the rest, in blocks and by signature; what signatures don't rule
-   out by a wide margin is compared on full sets, and the links join trees.
+   are compared with the rest, in blocks that hold their texts; what signatures don't
+   rule out by a wide margin is compared on full sets, and the links join trees. Pairs
+   are never rows; only links are.
 
 So a large group of copies costs comparisons in proportion to its members, and no link
 that banding proposes is lost.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, salt_of
+from .common import arrow_batches, cut, few, gathered, salt_of
 from .word_hashes import mix, shingles, text_buffer, words
 
 #: Bands and rows of a band: a pair of similarity 0.8 shares no band with probability 5e-6.
@@ -33,7 +34,7 @@ BANDS, ROWS = 40, 6
 #: Members that one comparison block holds.
 BLOCK = 512
 #: Standard deviations below the threshold at which a signature rules a pair out.
-MARGIN = 6
+MARGIN = 5
 #: Rows (32 bytes each) that a broadcast may have.
 BROADCAST_ROWS = 200_000
 _CELLS = 1 << 16
@@ -118,15 +119,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     a shuffled join.
     """
     dealt = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = pairs.join(dealt, "a").select("a", "m", F.pmod(F.xxhash64("m"), F.col("blocks")).alias("block"))
+    placed = pairs.join(few(dealt, BROADCAST_ROWS), "a").select("a", "m", F.pmod(F.xxhash64("m"), F.col("blocks")).alias("block"))
     wanted = cut(
         placed.select(F.col("m").alias("i"), "a", "block", "m").unionByName(
             dealt.select(F.col("a").alias("i"), "a", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(None).cast("long").alias("m"))
         )
     )
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return (
-        texts.join(F.broadcast(wanted) if few else wanted, "i")
+    return cut(
+        texts.join(few(wanted, BROADCAST_ROWS), "i")
         .select("a", "block", "m", "t")
         .repartition("a", "block")
         .sortWithinPartitions("a", "block", F.col("m").asc_nulls_first())
@@ -136,76 +136,117 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label) for every vertex of ``edges`` (a, b): the smallest vertex it can reach.
+    """(v, label) for every vertex of ``edges`` (a, m): the smallest vertex it can reach.
 
     Each round every vertex takes the least label around it and then its label's label,
-    so labels travel twice as far with each round.
+    so labels travel twice as far with each round. Labels are broadcast while there are
+    at most ``BROADCAST_ROWS``, and joined by shuffles beyond.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("label")))
+    both = cut(edges.select("a", F.col("m").alias("b")).unionByName(edges.select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
+    n = both.count()
+    both = gathered(both, n)
+    labels = cut(gathered(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("label")), n))
     while True:
-        near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.v == near.a).select("v", "label", F.least("label", "near").alias("next"))
+        known = few(labels, BROADCAST_ROWS)
+        near = both.join(known, both.b == labels.v).groupBy("a").agg(F.min("label").alias("near"))
+        step = near.join(known, near.a == labels.v).select("v", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
-        moved = cut(step.join(jump, "next", "left").select("v", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")))
+        jump = F.broadcast(jump) if known is not labels else jump
+        moved = cut(gathered(step.join(jump, "next", "left").select("v", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")), n))
         labels = moved.select("v", "label")
         if moved.filter("label <> old").isEmpty():
             return labels
 
 
-def _rounds(rows: DataFrame) -> DataFrame:
-    """Buckets that hold several trees, members with signatures, dealt into blocks.
+def _cross(size: int, percent: int):
+    """Links between different trees in blocks of rows (unit, qb, db, role, i, label, n, sig, t).
 
-    ``rows``: bucket, i, label. Members outside the bucket's largest tree are asked (q)
-    about all members; a block holds some of the asked and some of all.
+    Every asked member (role 0) meets every other (role 1) of another tree that it shares
+    a band with and that sizes and signatures don't rule out, likeliest first, on full
+    sets, until it has a link to that tree. Texts become sets when they are first needed.
     """
-    trees = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    open_ = (
-        trees.groupBy("bucket")
-        .agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k"))
-        .filter("k > 1")
-        .select("bucket", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).alias("qs"), F.ceil(F.col("n") / BLOCK).alias("ds"))
-    )
-    return rows.join(open_, "bucket")
-
-
-def _propose(percent: int):
-    """Pairs of different trees in a block that sizes and signatures don't rule out."""
     threshold = percent / 100
-    least = threshold - MARGIN * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+    least = (threshold - MARGIN * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS
 
-    def pairs(asked: list, given: list) -> tuple[list, list]:
+    def links(asked: list, given: list) -> tuple[list, list]:
         q, d = (np.frombuffer(b"".join(x[3] for x in side), np.uint8).reshape(len(side), -1) for side in (asked, given))
-        iq, lq, id_, ld = (np.array([x[k] for x in side], np.int64) for side in (asked, given) for k in (0, 1))
-        nq, nd = (np.array([x[2] for x in side], np.int64) for side in (asked, given))
+        label = np.array([x[1] for x in given], np.int64)
+        n = np.array([x[2] for x in given], np.int64)
+        sets: dict[int, np.ndarray] = {}
+
+        def of(row: tuple) -> np.ndarray:
+            if id(row) not in sets:
+                sets[id(row)] = next(_sets(pa.array([row[4]], pa.string()), size))
+            return sets[id(row)]
+
         a, m = [], []
-        for k in range(len(q)):
-            fits = (ld != lq[k]) & (id_ != iq[k]) & (100 * np.minimum(nd, nq[k]) >= percent * np.maximum(nd, nq[k]))
-            at = np.flatnonzero(fits)
-            at = at[(d[at] == q[k]).sum(axis=1) >= least * d.shape[1]]
-            a += np.minimum(id_[at], iq[k]).tolist()
-            m += np.maximum(id_[at], iq[k]).tolist()
+        for k, row in enumerate(asked):
+            at = np.flatnonzero((label != row[1]) & (100 * np.minimum(n, row[2]) >= percent * np.maximum(n, row[2])))
+            same = d[at] == q[k]
+            agree = same.sum(axis=1)
+            near = (agree >= least) & same.reshape(len(at), BANDS, ROWS).all(axis=2).any(axis=1)
+            at, agree = at[near], agree[near]
+            joined = set()
+            for j in at[np.argsort(-agree, kind="stable")].tolist():
+                other = given[j]
+                if other[1] not in joined and _similar(percent, of(row), of(other)):
+                    joined.add(other[1])
+                    a.append(min(row[0], other[0]))
+                    m.append(max(row[0], other[0]))
         return a, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asked, given = None, [], []
+
+        def found() -> pa.RecordBatch:
+            a, m = links(asked, given) if asked and given else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(m, pa.int64())], names=["a", "m"])
+
         for batch in batches:
-            a, m = [], []
-            for bucket, qb, db, role, i, label, n, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, qb, db) != at:
-                    if asked and given:
-                        x, y = pairs(asked, given)
-                        a, m = a + x, m + y
-                    at, asked, given = (bucket, qb, db), [], []
-                (given if role else asked).append((i, label, n, sig))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(m, pa.int64())], names=["a", "m"])
-        if asked and given:
-            a, m = pairs(asked, given)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(m, pa.int64())], names=["a", "m"])
+            for unit, qb, db, role, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (unit, qb, db) != at:
+                    yield found()
+                    at, asked, given = (unit, qb, db), [], []
+                (given if role else asked).append(tuple(row))
+        yield found()
 
     return run
 
 
+def _between_trees(shared: DataFrame, labels: DataFrame, vertices: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members of different trees that share a bucket.
+
+    Buckets with several trees whose largest tree is the same make one unit, in which each
+    member stands once however many buckets it shares. Those outside the largest tree in
+    some bucket are asked about all others.
+    """
+    named = shared.select("bucket", "i").join(few(labels.withColumnRenamed("v", "i"), BROADCAST_ROWS), "i", "left").select("bucket", "i", F.coalesce("label", "i").alias("label"))
+    trees = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    several = cut(trees.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket", F.col("top.label").alias("unit")))
+    held = cut(
+        named.join(few(several, BROADCAST_ROWS), "bucket").groupBy("unit", "i", "label").agg(F.count(F.lit(1)).alias("buckets")).drop("buckets").withColumn("asked", F.col("label") != F.col("unit"))
+    )
+    rows = held.count()
+    held = gathered(held, rows)
+    blocks = held.groupBy("unit").agg(F.ceil(F.count_if("asked") / BLOCK).alias("qs"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("ds"))
+    ids = few(held.select("i").distinct(), BROADCAST_ROWS)
+    bodies = vertices.join(ids, "i", "left_semi").join(texts.join(ids, "i", "left_semi"), "i")
+    full = held.join(few(cut(blocks), BROADCAST_ROWS), "unit").join(bodies, "i")
+    own = ["i", "label", "n", "sig", "t"]
+    places = F.expr(
+        "concat(transform(sequence(0L, qs - 1), k -> named_struct('qb', k, 'db', pmod(xxhash64(i), ds), 'role', 1)), "
+        "if(asked, transform(sequence(0L, ds - 1), k -> named_struct('qb', pmod(xxhash64(i), qs), 'db', k, 'role', 0)), array()))"
+    )
+    return cut(
+        full.withColumn("at", F.explode(places))
+        .select("unit", F.col("at.qb").alias("qb"), F.col("at.db").alias("db"), F.col("at.role").alias("role"), *own)
+        .repartition("unit", "qb", "db")
+        .sortWithinPartitions("unit", "qb", "db", "role")
+        .mapInArrow(_cross(size, percent), "a long, m long")
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -240,40 +281,27 @@ def near_duplicates(
     members = cut(full.join(sets, [*set_key, "s"]).select("i", "n", "v", F.when(F.col("i") == F.col("v"), F.col("sig")).alias("sig")))
     vertices = members.filter("sig IS NOT NULL").select("i", "n", "sig")
 
-    band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {ROWS} + 1, {ROWS})))"))
-    rows = vertices.select("i", band.alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("i").alias("rep"), F.max("i").alias("last"), F.count(F.lit(1)).alias("n")).filter("rep < last")
-    shared = cut(rows.join(buckets, "bucket").select("bucket", "i", "rep", F.col("n").alias("size")))
-
-    # 1: a forest.
-    asked = shared.filter("i > rep").groupBy("i", "rep").agg(F.count(F.lit(1)).alias("c")).groupBy("i").agg(F.max_by("rep", F.struct(F.col("c"), -F.col("rep"))).alias("rep"))
-    asked = cut(asked.select(F.col("rep").alias("a"), F.col("i").alias("m")))
+    band = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {ROWS} + 1, {ROWS})))"))
+    rows = vertices.select("i", band.alias("band", "bucket"))
+    buckets = rows.groupBy("bucket").agg(F.min("i").alias("rep"), F.max("i").alias("last"), F.count(F.lit(1)).alias("size")).filter("rep < last")
+    shared = cut(rows.join(buckets, "bucket").select("bucket", "band", "i", "rep", "size"))
     texts = base.filter("i IS NOT NULL")
-    links = cut(_verified(asked, texts, words_per_shingle, percent))
-    labels = components(links.select("a", F.col("m").alias("b")))
 
-    # 2: what is left between trees.
-    tried = asked.select(F.col("m").alias("i"), F.col("a").alias("tried"))
-    placed = shared.join(labels.withColumnRenamed("v", "i"), "i", "left").join(tried, "i", "left").select(
-        "bucket", "i", F.coalesce("label", "i").alias("label"), (F.col("size").eqNullSafe(F.lit(2)) & F.col("tried").eqNullSafe(F.col("rep"))).alias("done")
-    )
-    settled = placed.filter("done").select("bucket")
-    members_of = _rounds(cut(placed.drop("done").join(settled, "bucket", "left_anti"))).join(vertices.select("i", "n", "sig"), "i")
-    q = members_of.filter("label <> main").select("bucket", F.pmod(F.xxhash64("i"), "qs").alias("qb"), F.explode(F.expr("sequence(0L, ds - 1)")).alias("db"), F.lit(0).alias("role"), "i", "label", "n", "sig")
-    d = members_of.select("bucket", F.explode(F.expr("sequence(0L, qs - 1)")).alias("qb"), F.pmod(F.xxhash64("i"), "ds").alias("db"), F.lit(1).alias("role"), "i", "label", "n", "sig")
-    more = (
-        q.unionByName(d)
-        .repartition("bucket", "qb", "db")
-        .sortWithinPartitions("bucket", "qb", "db", "role")
-        .mapInArrow(_propose(percent), "a long, m long")
-        .distinct()
-    )
-    more = cut(more.join(asked, ["a", "m"], "left_anti"))
+    # 1: a forest.
+    asked = shared.filter("i > rep").groupBy("i", "rep").agg(F.count(F.lit(1)).alias("c"))
+    tested = cut(asked.groupBy(F.col("i").alias("m")).agg(F.max_by("rep", F.struct(F.col("c"), -F.col("rep"))).alias("a")).select("a", "m"))
+    tested = gathered(tested, tested.count())
+    links = _verified(tested, texts, words_per_shingle, percent)
+    labels = components(links)
+
+    # 2: what is left between trees; a bucket of two has been settled.
+    settled = shared.filter("size = 2 AND i > rep").join(few(tested, BROADCAST_ROWS), (F.col("rep") == F.col("a")) & (F.col("i") == F.col("m"))).select("bucket")
+    open_ = shared.join(few(cut(settled), BROADCAST_ROWS), "bucket", "left_anti")
+    more = _between_trees(open_, labels, vertices, texts, words_per_shingle, percent)
     if not more.isEmpty():
-        found = _verified(more, texts, words_per_shingle, percent).select("a", F.col("m").alias("b"))
-        labels = components(links.select("a", F.col("m").alias("b")).unionByName(found))
+        labels = components(links.unionByName(more))
 
-    named = members.join(labels.withColumnRenamed("v", "x").withColumnRenamed("label", "c"), F.col("v") == F.col("x"), "left").select("i", "n", F.coalesce("c", "v").alias("c"))
+    named = members.join(few(labels.withColumnRenamed("v", "x").withColumnRenamed("label", "c"), BROADCAST_ROWS), F.col("v") == F.col("x"), "left").select("i", "n", F.coalesce("c", "v").alias("c"))
     rest = signed.filter("n = 0 OR i IS NULL").select("i", "n", F.col("i").alias("c"))
     return named.unionByName(rest).select(
         F.col("i").alias(id_col),
