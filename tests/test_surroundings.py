@@ -192,3 +192,20 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
             windows.check_metrics([Check(kind, "v")], context)
     sent = spark.createDataFrame([('{"a": 1}',), ("nonsense",)], "m string")
     assert [r.valid for r in windows.messages(sent, "m", "a int").collect()] == [True, False]
+
+
+def test_workflow_steps(spark, config_file):
+    from assayline.orchestrate import QualityError, checked, run_config
+
+    assert run_config(str(config_file), spark, suites=["first"])[0]["status"] == "pass"
+    with pytest.raises(QualityError) as e:
+        run_config(str(config_file), spark)
+    assert "second: row_count" in str(e.value)
+
+    @checked("not_null: id", {"row_count": {"max": 3}})
+    def made(n):
+        return spark.range(n)
+
+    assert made(3).count() == 3
+    with pytest.raises(QualityError):
+        made(4)
