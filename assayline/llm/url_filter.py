@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,10 +115,10 @@ def judge(
     """
     spark = pages.sparkSession
     arrow_batches(spark)
-    trie = spark.sparkContext.broadcast(Trie(rules))
+    trie = spark.sparkContext.broadcast(cloudpickle.dumps(Trie(rules)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = trie.value.find
+        find = cloudpickle.loads(trie.value).find
         for batch in batches:
             split = [parts(u) for u in batch.column(1).to_pylist()]
             hits = [find(*x) for x in split]
