@@ -104,3 +104,21 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (150, 200), (300, 301)]
     got = {r.v: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a long, m long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 150: 100, 200: 100, 300: 300, 301: 300}
+
+
+def test_without_broadcasts_and_in_small_blocks(spark, monkeypatch):
+    """Beyond the counted bounds joins are shuffled, and groups spread over many blocks."""
+    rnd = random.Random(9)
+    seed = ["w%d" % k for k in range(100)]
+    rows = []
+    for k in range(60):
+        copy = list(seed)
+        for _ in range(rnd.randrange(12)):
+            copy[rnd.randrange(100)] = "x%d" % rnd.randrange(10**6)
+        rows.append((k, " ".join(copy)))
+    want = brute(rows, 2)
+    assert len({c for _, c, _ in want.values()}) > 1
+    for name, value in (("BROADCAST_ROWS", 0), ("BLOCK", 7)):
+        monkeypatch.setattr(near_dedup, name, value)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows), words_per_shingle=2).collect()}
+        assert got == want
