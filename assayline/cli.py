@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from . import plugins
 from .functions.scalars import interval_seconds, interval_text
 from .model import Source, Status
 from .operators.profile import profile, suggest
@@ -133,6 +134,7 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
+    plugins.load()
     command = args.command
     if command == "version":
         print(VERSION)

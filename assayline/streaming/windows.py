@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import Check, CheckResult
+from ..operators import anomaly
 from ..operators.checks import KINDS, CheckError, Context, quoted
 from ..plans.planner import expanded, kind_of
 
@@ -96,6 +97,15 @@ def watch(
     return metrics.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(**trigger or {"availableNow": True}).start()
 
 
+def anomalous(metrics: DataFrame, value: str, history: DataFrame, method: str = "mad", limit: float = 3.0) -> DataFrame:
+    """Closed windows with the bounds that earlier values of the metric set, and whether
+    they lie outside; null with too short a history. ``history`` has the column ``value``,
+    as a store's series has, and its bounds are one row."""
+    bounds = anomaly.series_bounds(history.select(F.col(value) if value in history.columns else F.col("value").alias(value)), [], value, method, limit)
+    outside = (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))
+    return metrics.crossJoin(F.broadcast(bounds.select("lower", "upper"))).withColumn("is_anomaly", outside)
+
+
 def messages(df: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
     """JSON messages against a schema: the parsed struct and whether it could be parsed."""
     parsed = F.from_json(quoted(column), schema, {"mode": "PERMISSIVE"})

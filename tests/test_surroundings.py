@@ -209,3 +209,25 @@ def test_workflow_steps(spark, config_file):
     assert made(3).count() == 3
     with pytest.raises(QualityError):
         made(4)
+
+
+def test_entry_points_are_loaded(monkeypatch):
+    from assayline import plugins
+
+    class Point:
+        def __init__(self, name, thing):
+            self.name, self.load = name, lambda: thing
+
+    kind = Kind("from_a_plugin", KINDS["row_count"].verdict, fused=KINDS["row_count"].fused)
+    found = {"assayline.checks": [Point("ok", kind), Point("taken", Kind("unique", None))], "assayline.connectors": [Point("mine", lambda s, x: s.range(1)), Point("csv", None)]}
+    monkeypatch.setattr(plugins, "entry_points", lambda group: found[group])
+    with pytest.warns(UserWarning):
+        assert plugins.load() == ["ok", "mine"]
+    assert "from_a_plugin" in KINDS
+
+
+def test_anomalies_of_windows(spark):
+    history = spark.createDataFrame([(10.0 + k % 3,) for k in range(12)], "value double")
+    now = spark.createDataFrame([(11.0,), (90.0,)], "total double")
+    assert [r.is_anomaly for r in windows.anomalous(now, "total", history).orderBy("total").collect()] == [False, True]
+    assert [r.is_anomaly for r in windows.anomalous(now, "total", history.limit(2)).collect()] == [None, None]
