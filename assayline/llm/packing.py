@@ -13,13 +13,12 @@ from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, cut
-from .tokens import IdTable, text_bytes
+from .tokens import MergeCounter, Remembered
 
 #: Pieces that one group holds on average, and so the most that is packed at once.
 GROUP = 20_000
@@ -141,11 +140,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     """(i, piece, start, length, ids_crc32): each document's ids and an end id, cut only beyond ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = IdTable(path)
+        table = Remembered(MergeCounter(path))
         end = np.array([end_id], "<u4")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(table.ids(text_bytes(batch.column(1)))):
+            for k, ids in enumerate(table.ids(batch.column(1))):
                 ids = np.concatenate([ids.astype("<u4"), end])
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at : at + capacity]
@@ -189,17 +188,33 @@ def best_fit_pack(
     groups = max(1, -(-parts.count() // GROUP))
     kind = pieces.schema["i"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].to_numpy()
-        sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+    def packed(table: pa.Table) -> list[pa.RecordBatch]:
+        sizes = table.column("length").to_numpy()
+        sequence, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
         for k, members in enumerate(pack(sizes, capacity)):
-            at = np.cumsum(sizes[members]) - sizes[members]
-            sequence[members], offset[members] = k, at
-        return pdf.assign(sequence_id=sequence * groups + pdf["g"], offset=offset)[["i", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+            sequence[members], offset[members] = k, np.cumsum(sizes[members]) - sizes[members]
+        sequence = sequence * groups + table.column("g")[0].as_py()
+        out = table.drop_columns("g").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b and group[a] != now:
+                    if parts:
+                        yield from packed(pa.Table.from_batches(parts))
+                    now, parts = group[a], []
+                if a < b:
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from packed(pa.Table.from_batches(parts))
 
     # A row's group depends on its id, place and content; repeated rows spread by their rank.
-    placed = parts.withColumn("g", F.pmod(F.xxhash64("i", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
-    packed = placed.groupBy("g").applyInPandas(run, f"i {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    group = F.pmod(F.xxhash64("i", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
+    placed = parts.select(group.alias("g"), "*").repartition("g").sortWithinPartitions("g", "i", "piece", "ids_crc32")
+    packed_rows = placed.mapInArrow(run, f"i {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     alone = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(alone).withColumnRenamed("i", id_col)
+    return packed_rows.unionByName(alone).withColumnRenamed("i", id_col)

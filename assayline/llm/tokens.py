@@ -1,7 +1,8 @@
 """Token counts by rank-synchronous array merging, and token ids through the library.
 
 Texts are cut at ASCII white space, where the word tokenizer never joins tokens, and
-each distinct chunk is worked out once and remembered in a bounded table.
+each distinct chunk is worked out once and remembered in a bounded table under a 64-bit
+hash of its bytes.
 
 Counting holds the pre-tokens of all new chunks as one ragged array of symbols. In every
 round each pre-token finds its pair of lowest rank and merges all its occurrences at
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches
+from .word_hashes import located, text_buffer
 
 #: Chunks that a worker's table holds before it starts anew.
 REMEMBERED = 400_000
 _NONE = np.iinfo(np.int32).max
 _LATIN = "\u024f"
+_MARKS = frozenset(".,;:!?")
 #: What the library's patterns mean by white space, to stand in a character class.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -52,6 +55,44 @@ def _normal(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+class PairTable:
+    """Ranks by pair, in an open table that answers whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, _NONE, np.int32)
+        rank = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(rank):
+            free = self.keys[at] < 0
+            _, first = np.unique(at[free], return_index=True)
+            placed = np.flatnonzero(free)[first]
+            self.keys[at[placed]], self.ranks[at[placed]] = keys[rank[placed]], rank[placed]
+            left = np.ones(len(rank), bool)
+            left[placed] = False
+            rank, at = rank[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or a number above all ranks."""
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.ranks[at], _NONE)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & (len(self.keys) - 1)
+            found, wanted = self.keys[at], keys[open_]
+            hit = found == wanted
+            out[open_[hit]] = self.ranks[at[hit]]
+            go = ~hit & (found >= 0)
+            open_, at = open_[go], at[go]
+        return out
+
+
 class MergeCounter:
     """Counts the tokens of chunks of text for a byte-level BPE file with word ends."""
 
@@ -67,8 +108,7 @@ class MergeCounter:
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
         self.width = max(vocab.values()) + 1
         keys = left * self.width + right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.pairs = PairTable(keys)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {c: b for b, c in enumerate(letters)}
@@ -79,13 +119,16 @@ class MergeCounter:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", _WHITE))
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-        self.known: dict[bytes, int] = {}
 
     def _pieces(self, text: str) -> list[bytes]:
-        if text.isascii():
-            return [x.encode() for x in self.pieces.findall(text.lower())]
-        if max(text) <= _LATIN:
-            return [x.encode() for x in self.pieces.findall(_normal(text))]
+        if text.isascii() or max(text) <= _LATIN:
+            text = text.lower() if text.isascii() else _normal(text)
+            # Most chunks are a word, or a word and a mark: the pattern would find the same.
+            if text.isalpha():
+                return [text.encode()]
+            if text[-1:] in _MARKS and text[:-1].isalpha():
+                return [text[:-1].encode(), text[-1].encode()]
+            return [x.encode() for x in self.pieces.findall(text)]
         # The library's own tables know which code points of other scripts are letters.
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.bytes.__getitem__, x)) for x, _ in found]
@@ -110,9 +153,8 @@ class MergeCounter:
         owner = np.repeat(np.arange(len(pre)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            key = symbols[:-1] * self.width + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.append(np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), self.ranks[at], _NONE), _NONE)
+            rank = self.pairs.find(symbols[:-1] * self.width + symbols[1:])
+            rank = np.append(np.where(owner[:-1] == owner[1:], rank, _NONE), _NONE)
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.minimum.reduceat(rank, begin)
             size = np.diff(np.append(begin, len(symbols)))
@@ -158,22 +200,63 @@ class MergeCounter:
         flat = ids[np.repeat(at[each] - before, n) + np.arange(int(n.sum()))]
         return flat.astype(np.uint32), np.bincount(owner, weights=n, minlength=len(split)).astype(np.int64)
 
-    def counts(self, texts: list[bytes]) -> list[int]:
-        """Tokens of each UTF-8 text; new chunks of all texts are merged together."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [t.split() for t in texts]
-        if new := _unknown(split, known):
-            known.update(zip(new, self.merged(new)[1].tolist(), strict=True))
-        return [sum(map(known.__getitem__, chunks)) for chunks in split]
 
+class Remembered:
+    """The merged ids of chunks, found by a 64-bit hash of a chunk's bytes."""
+
+    def __init__(self, merger: MergeCounter) -> None:
+        self.merger = merger
+        self._anew()
+
+    def _anew(self) -> None:
+        self.hashes, self.which = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        ids, sizes = self.merger.merged(chunks)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.which = np.insert(self.which, at, len(self.starts) + np.arange(len(chunks)))
+        self.starts = np.append(self.starts, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.used += len(ids)
 
-def _unknown(split: list[list[bytes]], known: dict[bytes, int]) -> list[bytes]:
-    new: set[bytes] = set()
-    for chunks in split:
-        new.update(chunks)
-    return [c for c in new if c not in known]
+    def chunks_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The place here of every chunk of the texts, and n + 1 offsets of each text's."""
+        if len(self.starts) > REMEMBERED:
+            self._anew()
+        data, offsets = text_buffer(texts)
+        hashes, starts, lengths, at = located(data, offsets, lower=False)
+        distinct, first, every = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        there = place < len(self.hashes)
+        new[there] = self.hashes[place[there]] != distinct[there]
+        if new.any():
+            body = data.tobytes()
+            begin, end = starts[first[new]], starts[first[new]] + lengths[first[new]]
+            self._learn(distinct[new], [body[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            place = np.searchsorted(self.hashes, distinct)
+        return self.which[place][every.reshape(-1)], at
+
+    def counts(self, texts: pa.Array) -> list[int]:
+        """Tokens of each text."""
+        which, at = self.chunks_of(texts)
+        total = np.append(0, np.cumsum(self.sizes[which]))
+        return (total[at[1:]] - total[at[:-1]]).tolist()
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text as 32-bit numbers."""
+        which, at = self.chunks_of(texts)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = which[a:b]
+            size = self.sizes[own]
+            before = np.cumsum(size) - size
+            yield self.flat[np.repeat(self.starts[own] - before, size) + np.arange(int(size.sum()))]
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -192,52 +275,13 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = MergeCounter(path)
+        table = Remembered(MergeCounter(path))
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            n = counter.counts(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64())], names=["i", "b", "n"])
+            size = np.diff(text_buffer(batch.column(1))[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(table.counts(batch.column(1)), pa.int64())], names=["i", "b", "n"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
     return rows.mapInArrow(run, f"i {kind}, b long, n long").select(
         F.col("i").alias(id_col), F.col("b").alias("n_bytes"), F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit")
     )
-
-
-class IdTable:
-    """Token ids of whole texts, as the library gives them, chunk by remembered chunk."""
-
-    def __init__(self, path: str) -> None:
-        self.merger = MergeCounter(path)
-        self._anew()
-
-    def _anew(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        ids, sizes = self.merger.merged(chunks)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        n = len(self.starts)
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-        self.starts = np.append(self.starts, self.used + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.used += len(ids)
-
-    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each UTF-8 text as 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self._anew()
-        split = [t.split() for t in texts]
-        if new := _unknown(split, self.known):
-            self._learn(new)
-        for chunks in split:
-            which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            size = self.sizes[which]
-            before = np.cumsum(size) - size
-            yield self.flat[np.repeat(self.starts[which] - before, size) + np.arange(int(size.sum()))]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,7 +34,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     large = column.cast(pa.large_binary()) if not pa.types.is_string(column.type) else column
     if large.null_count:
-        large = pa.compute.fill_null(large, "" if pa.types.is_string(large.type) else b"")
+        large = pc.fill_null(large, "" if pa.types.is_string(large.type) else b"")
     kind = np.int32 if pa.types.is_string(large.type) else np.int64
     _, offsets, data = large.buffers()
     at = np.frombuffer(offsets, dtype=kind)[large.offset : large.offset + len(large) + 1].astype(np.int64)
@@ -41,29 +42,33 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words ``[^\\x20\\x09-\\x0D]+``, and n + 1 offsets of each text's words."""
+def located(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and length of every word ``[^\\x20\\x09-\\x0D]+``, and n + 1 offsets of each text's words."""
     n = len(offsets) - 1
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     inside = ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[first] = inside[first]
-    letters = _LOWER[data[inside]] if lower else data[inside]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    rank = np.cumsum(inside, dtype=np.int64)
-    at = rank[starts] - 1
+        return np.zeros(0, np.uint64), starts, starts, np.zeros(n + 1, np.int64)
+    letters = data[inside]
+    letters = _LOWER[letters] if lower else letters
+    at = np.cumsum(inside, dtype=np.int64)[starts] - 1
     lengths = np.diff(np.append(at, len(letters)))
     place = np.arange(len(letters), dtype=np.int64) - np.repeat(at, lengths)
     powers = np.full(int(lengths.max()), _BASE)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     hashes = np.add.reduceat((letters.astype(np.uint64) + _U(1)) * powers[place], at)
-    return mix(hashes), np.searchsorted(starts, offsets)
+    return mix(hashes), starts, lengths, np.searchsorted(starts, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and n + 1 offsets of each text's words."""
+    hashes, _, _, at = located(data, offsets, lower)
+    return hashes, at
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
