@@ -164,12 +164,16 @@ def disclosing_terms(based: DataFrame, texts: DataFrame) -> DataFrame:
     ``based`` has (i, h, spans, near) for every document, ``near`` the words near each
     span; ``texts`` has (text). A document counts once for each entity and word.
     """
-    mention = based.select("i", "h", F.explode(F.arrays_zip("spans", "near")).alias("s")).select(
+    mention = based.filter(F.size("spans") > 0).select("i", "h", F.explode(F.arrays_zip("spans", "near")).alias("s")).select(
         "i", "h", F.concat_ws(":", F.col("s.spans.kind"), F.lower("s.spans.value")).alias("entity"), F.col("s.near").alias("terms")
     )
     pairs = cut(mention.select("i", "h", "entity", F.explode_outer("terms").alias("term")).distinct())
     entities = pairs.select("i", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
-    together = cut(pairs.filter("term IS NOT NULL").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= SUPPORT))
+    # A word stands in at least the documents in which it is near some entity, so one that
+    # is near many entities can be left out before it is counted in the whole corpus.
+    near_any = pairs.select("i", "h", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("c_near"))
+    together = pairs.filter("term IS NOT NULL").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= SUPPORT)
+    together = cut(together.join(near_any, "term").filter(F.col("c_te") >= DISCLOSES * F.col("c_near")).drop("c_near"))
     counts = None
     for block in _passes(together.select("term").distinct()):
         seen = texts.select(F.explode(F.array_distinct(F.transform(_vocabulary(F.col("text")), F.lower))).alias("term")).join(F.broadcast(block), "term").groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
@@ -205,7 +209,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         each.select("i", "text", "h", F.concat(*KINDS).alias("spans"))
         .select("i", "h", "spans", F.transform("spans", lambda s: _near(F.col("text"), s)).alias("near"))
     )
-    terms = cut(disclosing_terms(based.filter(F.size("spans") > 0), texts.select("text")) if not based.filter(F.size("spans") > 0).isEmpty() else based.limit(0).select(F.lit("").alias("term"), F.lit(0.0).alias("score")))
+    terms = cut(disclosing_terms(based, texts.select("text")))
 
     hits = None
     for block in _passes(terms):
