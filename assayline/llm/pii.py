@@ -5,8 +5,8 @@ word reveals a protected entity, that is an address or number which the patterns
 over the corpus it counts the documents in which the word stands near the entity and the
 documents that have the word at all. Their ratio is the probability that a reader of the
 word can name the entity, and its logarithm against the entity's own share of documents
-is the information disclosed, in bits. Words beyond both thresholds become spans too
-wherever they occur; the sanitised text generalises them, or removes the strongest.
+is the information disclosed, in bits. Words beyond both thresholds, in documents enough
+for the discounted ratio to hold, become spans too wherever they occur; the sanitised text generalises them, or removes the strongest.
 """
 
 from __future__ import annotations
@@ -34,8 +34,11 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 TERM = r"\p{L}{4,}"
 #: Code points on either side of an entity in which a word counts as near it.
 CONTEXT = 60
-#: Documents in which a word must stand near an entity.
-SUPPORT = 3
+#: What is taken off the documents that a word shares with an entity, and the part of the
+#: word's documents that must be left. So few documents count for less, but none is too few
+#: by itself: 2 of 2 or 3, and 3 of 6, are enough. One document alone isn't, as nothing in
+#: it tells a name from any other word that is rare.
+DISCOUNT, EVIDENCE = 0.75, 0.375
 #: Probability of the entity, given the word, from which the word is a span, and from which it is removed.
 DISCLOSES, REMOVED = 0.5, 0.9
 #: Information about the entity, in bits, that a span's word carries at least.
@@ -172,7 +175,7 @@ def disclosing_terms(based: DataFrame, texts: DataFrame) -> DataFrame:
     # A word stands in at least the documents in which it is near some entity, so one that
     # is near many entities can be left out before it is counted in the whole corpus.
     near_any = pairs.select("i", "h", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("c_near"))
-    together = pairs.filter("term IS NOT NULL").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= SUPPORT)
+    together = pairs.filter("term IS NOT NULL").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") - DISCOUNT >= EVIDENCE * F.col("c_te"))
     together = cut(together.join(near_any, "term").filter(F.col("c_te") >= DISCLOSES * F.col("c_near")).drop("c_near"))
     counts = None
     for block in _passes(together.select("term").distinct()):
@@ -185,7 +188,7 @@ def disclosing_terms(based: DataFrame, texts: DataFrame) -> DataFrame:
     return (
         together.join(counts, "term")
         .join(entities, "entity")
-        .filter((share >= DISCLOSES) & (F.log2(share * F.lit(float(n)) / F.col("c_e")) >= BITS))
+        .filter((share >= DISCLOSES) & (F.col("c_te") - DISCOUNT >= EVIDENCE * F.col("c_t")) & (F.log2(share * F.lit(float(n)) / F.col("c_e")) >= BITS))
         .groupBy("term")
         .agg(F.max(share).alias("score"))
     )

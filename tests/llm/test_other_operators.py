@@ -248,6 +248,17 @@ def test_terms_that_disclose(spark):
     assert {s["score"] for s in got[10].spans} == {6 / 8}
 
 
+def test_terms_of_entities_in_two_documents(spark):
+    """Two documents of two, or of three, are evidence; two of four and one of one aren't."""
+    rows = [(k, f"plain words Trillian <t@earth.org> Slartib Marvin plain {k}") for k in range(2)]
+    rows += [(5, "plain words Slartib"), (6, "words Marvin"), (7, "plain Marvin words"), (8, "plain Hapax h@earth.org")]
+    rows += [(20 + k, "plain words") for k in range(60)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = {i: {t[s["start"] : s["end"]] for s in got[i] if s["kind"] == "term"} for i, t in rows}
+    assert words[0] == words[1] == {"Trillian", "Slartib"}
+    assert words[5] == {"Slartib"} and not any(words[i] for i in words if i > 5)
+
+
 def test_pii_edges(spark):
     df = spark.createDataFrame([(None, "a@b.co"), (1, "a@b.co"), (1, "a@b.co"), (2, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), len(r.base)) for r in pii.find(df).collect())
