@@ -9,7 +9,7 @@ fills rises; fuller bins leave emptier ones, until bins have nothing left.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +22,6 @@ from .tokens import MergeCounter, Remembered
 
 #: Pieces that one group holds on average, and so the most that is packed at once.
 GROUP = 20_000
-#: Times that the search goes over a group's underfull bins.
-ROUNDS = 8
-#: Bins that one source bin is compared with in a round, the emptiest that are fuller than it.
-PARTNERS = 64
-#: Source bins of a round, emptiest first: so many, and so many for each bin above the bound.
-SOURCES, SOURCES_EACH = 16, 4
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -55,80 +49,88 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _improve(a: list[int], b: list[int], size: list[int], fill_a: int, fill_b: int, capacity: int) -> int:
-    """One exchange that fills bin ``a`` (the fuller) from ``b`` as far as it goes; the gain.
-
-    With fill_a >= fill_b every positive gain of ``a`` raises the sum of squared fills.
-    """
-    room = capacity - fill_a
-    best, change = 0, None
-    ordered = sorted(b, key=size.__getitem__)
-    values = [size[x] for x in ordered]
-    at = bisect_right(values, room) - 1
-    if at >= 0:
-        best, change = values[at], ((), (ordered[at],))
-    for x in a:
-        if best == room:
+def _parts(values: list[int], capacity: int) -> np.ndarray:
+    """For each limit up to ``capacity`` the most that one or two of ``values`` come to within it."""
+    distinct, times = np.unique(np.array(values, np.int64), return_counts=True)
+    most = np.zeros(capacity + 1, np.int64)
+    most[distinct] = distinct
+    for k, x in enumerate(distinct.tolist()):
+        pairs = x + distinct[k + (times[k] == 1) :]
+        pairs = pairs[pairs <= capacity]
+        if not len(pairs):
             break
-        at = bisect_right(values, room + size[x]) - 1
-        if at >= 0 and values[at] - size[x] > best:
-            best, change = values[at] - size[x], ((x,), (ordered[at],))
-    if best < room:  # two from b for one of a, or for the room alone
-        for x in (None, *a):
-            limit = room + (size[x] if x is not None else 0)
-            lost = limit - room
-            low, high = 0, len(values) - 1
-            while low < high:
-                total = values[low] + values[high]
-                if total > limit:
-                    high -= 1
-                    continue
-                if total - lost > best:
-                    best, change = total - lost, (() if x is None else (x,), (ordered[low], ordered[high]))
-                low += 1
-            if best == room:
-                break
-    if change is None:
-        return 0
-    out, into = change
-    for x in out:
-        a.remove(x)
-        b.append(x)
-    for x in into:
-        b.remove(x)
-        a.append(x)
-    return best
+        most[pairs] = pairs
+    return np.maximum.accumulate(most)
+
+
+def _taken(own: list[int], size: list[int], total: int) -> tuple[int, ...]:
+    """One or two of the pieces ``own`` that come to ``total``."""
+    seen: dict[int, int] = {}
+    for x in own:
+        if size[x] == total:
+            return (x,)
+    for x in own:
+        if total - size[x] in seen:
+            return seen[total - size[x]], x
+        seen[size[x]] = x
+    raise ValueError(total)
 
 
 def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """The bins after exchanges; never more of them, and none above capacity."""
+    """The bins after exchanges; never more of them, and none above capacity.
+
+    It ends when the bins are as few as their content allows, or when no exchange between
+    any two underfull bins is left: each in turn, emptiest first, gives to the bin that is
+    at least as full and gains most, until none gains. What an underfull bin could give to
+    all others is looked up at once; bins that haven't changed since are not compared again.
+    """
     size = [int(x) for x in sizes]
-    fill = [sum(size[x] for x in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = len(bins)
-    for _ in range(ROUNDS):
-        if alive <= least:
-            break
+    fill = np.array([sum(size[x] for x in b) for b in bins], np.int64)
+    least = -(-int(fill.sum()) // capacity)
+    alive = int((fill > 0).sum())
+    changed, settled, clock = np.zeros(len(bins), np.int64), np.full(len(bins), -1, np.int64), 0
+    place = np.zeros(len(size), np.int64)
+    moved = True
+    while moved and alive > least:
         moved = False
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: fill[k])
-        for place, source in enumerate(under[: SOURCES + SOURCES_EACH * (alive - least)]):
-            if not bins[source]:
-                continue
-            for k in under[place + 1 : place + 1 + PARTNERS]:
-                while fill[source] <= fill[k] < capacity and bins[k] and bins[source]:
-                    gain = _improve(bins[k], bins[source], size, fill[k], fill[source], capacity)
-                    if not gain:
-                        break
-                    fill[k] += gain
-                    fill[source] -= gain
-                    moved = True
-                if not bins[source]:
-                    alive -= 1
+        live = np.flatnonzero((fill > 0) & (fill < capacity))
+        pieces = [x for b in live.tolist() for x in bins[b]]
+        # What a bin can give up for what it gets: one of its pieces, or nothing.
+        lost = np.concatenate([np.array([size[x] for x in pieces], np.int64), np.zeros(len(live), np.int64)])
+        owner = np.concatenate([np.repeat(live, [len(bins[b]) for b in live.tolist()]), live])
+        place[pieces] = np.arange(len(pieces))
+        for source in live[np.argsort(fill[live], kind="stable")].tolist():
+            most = None
+            while 0 < fill[source] < capacity and alive > least:
+                partner = (fill >= fill[source]) & (fill < capacity)
+                partner[source] = False
+                if changed[source] <= settled[source]:
+                    partner &= changed > settled[source]
+                at = np.flatnonzero(partner[owner])
+                if not len(at):
                     break
-            if alive <= least:
-                break
-        if not moved:
-            break
+                if most is None:
+                    most = _parts([size[x] for x in bins[source]], capacity)
+                gains = most[capacity - fill[owner[at]] + lost[at]] - lost[at]
+                best = int(gains.argmax())
+                gain, k = int(gains[best]), int(at[best])
+                if gain <= 0:
+                    break
+                target = int(owner[k])
+                into = _taken(bins[source], size, gain + int(lost[k]))
+                out = (pieces[k],) if k < len(pieces) else ()
+                for a, b, those in ((source, target, into), (target, source, out)):
+                    for x in those:
+                        bins[a].remove(x)
+                        bins[b].append(x)
+                        owner[place[x]] = b
+                fill[target] += gain
+                fill[source] -= gain
+                clock += 1
+                changed[source] = changed[target] = clock
+                moved, most = True, None
+                alive -= not bins[source]
+            settled[source] = clock
     return [b for b in bins if b]
 
 

@@ -108,6 +108,20 @@ def test_local_search():
     assert len(packing.local_search([[0], [1, 3], [2]], tight, 100)) == 2
 
 
+def test_local_search_ends_when_nothing_moves():
+    sizes, capacity = np.random.default_rng(0).integers(900, 1366, 1500), 4096
+    found = packing.pack(sizes, capacity)
+    assert len(found) <= 440  # 453 with 8 rounds and 64 partners
+    rest = [(int(sizes[b].sum()), [0, *sizes[b].tolist()], b) for b in found if sizes[b].sum() < capacity]
+    for k, (fill, _, b) in enumerate(rest):
+        own = sizes[b].tolist()
+        gifts = np.unique([*own, *(x + y for j, x in enumerate(own) for y in own[:j])])
+        for other, (full, out, _) in enumerate(rest):
+            if other != k and full >= fill:
+                gains = gifts[:, None] - np.array(out)
+                assert not ((gains > 0) & (gains <= capacity - full)).any()
+
+
 def test_mix(spark):
     rnd = random.Random(2)
     rows = [(k, "word " * rnd.randrange(1, 60), rnd.choice(["a", "a", "a", "a", "b", "c", None]), 1, 2.0) for k in range(3000)]
