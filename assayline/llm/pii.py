@@ -5,8 +5,9 @@ word reveals a protected entity, that is an address or number which the patterns
 over the corpus it counts the documents in which the word stands near the entity and the
 documents that have the word at all. Their ratio is the probability that a reader of the
 word can name the entity, and its logarithm against the entity's own share of documents
-is the information disclosed, in bits. Words beyond both thresholds, in documents enough
-for the discounted ratio to hold, become spans too wherever they occur; the sanitised text generalises them, or removes the strongest.
+is the information disclosed, taken as a part of the information that the entity itself
+has. Words beyond both thresholds, in documents enough for the discounted ratio to hold,
+become spans too wherever they occur; the sanitised text generalises them, or removes the strongest.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ CONTEXT = 60
 DISCOUNT, EVIDENCE = 0.75, 0.375
 #: Probability of the entity, given the word, from which the word is a span, and from which it is removed.
 DISCLOSES, REMOVED = 0.5, 0.9
-#: Information about the entity, in bits, that a span's word carries at least.
-BITS = 3.0
+#: Part of the entity's own information that a span's word carries at least. A frequent
+#: entity has few bits, and so needs few; one that is in every document has none to disclose.
+OF_ENTITY = 0.5
 #: Terms that one broadcast holds; more are taken in several passes.
 TERMS_AT_ONCE = 100_000
 
@@ -185,10 +187,12 @@ def disclosing_terms(based: DataFrame, texts: DataFrame) -> DataFrame:
         return together.select("term", F.lit(0.0).alias("score"))
     n = based.count()
     share = F.col("c_te") / F.col("c_t")
+    known = F.log2(F.lit(float(n)) / F.col("c_e"))
     return (
         together.join(counts, "term")
         .join(entities, "entity")
-        .filter((share >= DISCLOSES) & (F.col("c_te") - DISCOUNT >= EVIDENCE * F.col("c_t")) & (F.log2(share * F.lit(float(n)) / F.col("c_e")) >= BITS))
+        .filter((share >= DISCLOSES) & (F.col("c_te") - DISCOUNT >= EVIDENCE * F.col("c_t")))
+        .filter((known > 0) & (F.log2(share) + known >= OF_ENTITY * known))
         .groupBy("term")
         .agg(F.max(share).alias("score"))
     )

@@ -259,6 +259,18 @@ def test_terms_of_entities_in_two_documents(spark):
     assert words[5] == {"Slartib"} and not any(words[i] for i in words if i > 5)
 
 
+def test_terms_of_frequent_entities(spark):
+    """What stands only beside a frequent address discloses it; what is as common without it doesn't."""
+    rows = [(k, f"plain words Trillian <t@earth.org> always {k}") for k in range(30)]
+    rows += [(100 + k, "plain words always") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = lambda df: {s["value"] for r in pii.find(df).collect() for s in r.spans if s["kind"] == "term"}
+    assert terms(df) == {"Trillian"}
+    assert terms(df.filter("doc_id < 4 OR doc_id BETWEEN 100 AND 104")) == {"Trillian"}  # nine documents
+    assert terms(df.filter("doc_id < 30 OR doc_id < 110")) == {"Trillian"}  # the address in 30 of 40
+    assert terms(df.filter("doc_id < 30")) == set()  # in all, so that nothing can disclose it
+
+
 def test_pii_edges(spark):
     df = spark.createDataFrame([(None, "a@b.co"), (1, "a@b.co"), (1, "a@b.co"), (2, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), len(r.base)) for r in pii.find(df).collect())
