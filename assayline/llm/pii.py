@@ -2,7 +2,7 @@
 
 Base spans come from four patterns. The information-theoretic part asks how strongly a
 word reveals a protected entity, that is an address or number which the patterns found:
-over the corpus it counts the documents in which the word stands near the entity and the
+over the corpus it counts the documents that have both the word and the entity, and the
 documents that have the word at all. Their ratio is the probability that a reader of the
 word can name the entity, and its logarithm against the entity's own share of documents
 is the information disclosed, taken as a part of the information that the entity itself
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -31,10 +31,8 @@ PATTERNS = {
 #: What a text has if it can hold a match at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
-#: A word that can disclose: at least four letters.
-TERM = r"\p{L}{4,}"
-#: Code points on either side of an entity in which a word counts as near it.
-CONTEXT = 60
+#: A word that can disclose, however short.
+TERM = r"\p{L}+"
 #: What is taken off the documents that a word shares with an entity, and the part of the
 #: word's documents that must be left. So few documents count for less, but none is too few
 #: by itself: 2 of 2 or 3, and 3 of 6, are enough. One document alone isn't, as nothing in
@@ -45,8 +43,10 @@ DISCLOSES, REMOVED = 0.5, 0.9
 #: Part of the entity's own information that a span's word carries at least. A frequent
 #: entity has few bits, and so needs few; one that is in every document has none to disclose.
 OF_ENTITY = 0.5
-#: Terms that one broadcast holds; more are taken in several passes.
+#: Terms that one broadcast holds; more are taken in several passes, or counted by a shuffle.
 TERMS_AT_ONCE = 100_000
+#: Rows of ids that a broadcast may have; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 _SPAN = "struct<kind:string,start:bigint,end:bigint,value:string>"
 
@@ -142,14 +142,28 @@ def sanitised(text: Column, spans: Column, removed: float = REMOVED) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Lower-cased words that lie wholly within the context of a span."""
-    begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, (begin + 1).cast("int"), (span["start"] - begin).cast("int"))
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT))
-    left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(span["end"] + CONTEXT < F.length(text), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return F.array_distinct(F.transform(F.concat(F.regexp_extract_all(left, F.lit(TERM), F.lit(0)), F.regexp_extract_all(right, F.lit(TERM), F.lit(0))), F.lower))
+def _outside(text: Column, spans: Column) -> Column:
+    """``text`` with a space for each of its spans."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.lit(" ")).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.lower(span["value"]))
+
+
+def _words(text: Column, spans: Column) -> Column:
+    """(term, inside) for the lower-cased words of ``text``; inside which entity, null for a word outside all."""
+    found = lambda t: F.transform(_vocabulary(t), F.lower)
+    beside = F.transform(found(_outside(text, spans)), lambda w: F.struct(w.alias("term"), F.lit(None).cast("string").alias("inside")))
+    within = F.flatten(F.transform(spans, lambda s: F.transform(found(s["value"]), lambda w: F.struct(w.alias("term"), _entity(s).alias("inside")))))
+    return F.array_distinct(F.concat(beside, within))
 
 
 def _vocabulary(text: Column) -> Column:
@@ -163,35 +177,50 @@ def _passes(terms: DataFrame) -> list[DataFrame]:
     return [terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k) if blocks > 1 else terms for k in range(blocks)]
 
 
+def _enough(together: Column, of: Column) -> Column:
+    return together - DISCOUNT >= EVIDENCE * of
+
+
 def disclosing_terms(based: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, score): words that reveal an entity, with the highest probability of one.
 
-    ``based`` has (i, h, spans, near) for every document, ``near`` the words near each
-    span; ``texts`` has (text). A document counts once for each entity and word.
+    ``based`` has (i, h, spans) for every document, ``texts`` has (i, h, text). A document
+    counts once for each entity and word, wherever in it they stand; a word that a document
+    has only inside the entity doesn't count with it.
     """
-    mention = based.filter(F.size("spans") > 0).select("i", "h", F.explode(F.arrays_zip("spans", "near")).alias("s")).select(
-        "i", "h", F.concat_ws(":", F.col("s.spans.kind"), F.lower("s.spans.value")).alias("entity"), F.col("s.near").alias("terms")
+    mention = based.filter(F.size("spans") > 0).select("i", "h", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct()
+    # Entities of the same documents have the same counts, so one of them stands for all.
+    # What only one of them has inside stands beside the others.
+    entities = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"), F.bit_xor(F.xxhash64("i", "h")).alias("a"), F.bit_xor(F.xxhash64("h", "i", F.lit(1))).alias("b"))
+    entities = entities.filter(_enough(F.col("c_e"), F.col("c_e"))).groupBy("c_e", "a", "b").agg(F.min("entity").alias("entity"), (F.count(F.lit(1)) > 1).alias("several"))
+    held = cut(mention.join(few(cut(entities.drop("a", "b")), BROADCAST_ROWS), "entity"))
+    ids = held.select(F.col("i").alias("i2"), F.col("h").alias("h2")).distinct()
+    own = F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))
+    bodies = texts.join(few(ids, BROADCAST_ROWS), own, "left_semi").dropDuplicates(["i", "h"])
+    words = (
+        bodies.select("i", "h", F.explode(_words(F.col("text"), F.concat(*base_spans(F.col("text")).values()))).alias("w"))
+        .groupBy("i", "h", F.col("w.term").alias("term"))
+        .agg(F.when((F.count("w.inside") == F.count(F.lit(1))) & (F.min("w.inside") == F.max("w.inside")), F.min("w.inside")).alias("only"))
+    )
+    right = held.select(F.col("i").alias("i2"), F.col("h").alias("h2"), "entity", "c_e", "several")
+    together = cut(
+        words.join(few(right, BROADCAST_ROWS), own)
+        .filter(F.col("several") | ~F.col("only").eqNullSafe(F.col("entity")))
+        .groupBy("term", "entity", "c_e")
+        .agg(F.count(F.lit(1)).alias("c_te"))
+        .filter(_enough(F.col("c_te"), F.col("c_te")))
     )
-    pairs = cut(mention.select("i", "h", "entity", F.explode_outer("terms").alias("term")).distinct())
-    entities = pairs.select("i", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
-    # A word stands in at least the documents in which it is near some entity, so one that
-    # is near many entities can be left out before it is counted in the whole corpus.
-    near_any = pairs.select("i", "h", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("c_near"))
-    together = pairs.filter("term IS NOT NULL").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") - DISCOUNT >= EVIDENCE * F.col("c_te"))
-    together = cut(together.join(near_any, "term").filter(F.col("c_te") >= DISCLOSES * F.col("c_near")).drop("c_near"))
-    counts = None
-    for block in _passes(together.select("term").distinct()):
-        seen = texts.select(F.explode(F.array_distinct(F.transform(_vocabulary(F.col("text")), F.lower))).alias("term")).join(F.broadcast(block), "term").groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-        counts = seen if counts is None else counts.unionByName(seen)
-    if counts is None:
-        return together.select("term", F.lit(0.0).alias("score"))
+    wanted = cut(together.select("term").distinct())
+    seen = texts.select(F.explode(F.array_distinct(F.transform(_vocabulary(F.col("text")), F.lower))).alias("term"))
+    if wanted.limit(TERMS_AT_ONCE + 1).count() <= TERMS_AT_ONCE:  # else all words are counted, and only counts are shuffled
+        seen = seen.join(F.broadcast(wanted), "term", "left_semi")
+    counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
     n = based.count()
     share = F.col("c_te") / F.col("c_t")
     known = F.log2(F.lit(float(n)) / F.col("c_e"))
     return (
         together.join(counts, "term")
-        .join(entities, "entity")
-        .filter((share >= DISCLOSES) & (F.col("c_te") - DISCOUNT >= EVIDENCE * F.col("c_t")))
+        .filter((share >= DISCLOSES) & _enough(F.col("c_te"), F.col("c_t")))
         .filter((known > 0) & (F.log2(share) + known >= OF_ENTITY * known))
         .groupBy("term")
         .agg(F.max(share).alias("score"))
@@ -211,16 +240,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = base_spans(F.col("text"))
-    each = texts.select("i", "text", F.xxhash64("text").alias("h"), *[c.alias(k) for k, c in kinds.items()])
-    based = cut(
-        each.select("i", "text", "h", F.concat(*KINDS).alias("spans"))
-        .select("i", "h", "spans", F.transform("spans", lambda s: _near(F.col("text"), s)).alias("near"))
-    )
-    terms = cut(disclosing_terms(based, texts.select("text")))
+    texts = texts.select("i", "text", F.xxhash64("text").alias("h"))
+    based = cut(texts.select("i", "h", *[c.alias(k) for k, c in kinds.items()]).select("i", "h", F.concat(*KINDS).alias("spans")))
+    terms = cut(disclosing_terms(based, texts))
 
     hits = None
     for block in _passes(terms):
-        words = texts.select("i", "text", F.xxhash64("text").alias("h"), F.explode(_vocabulary(F.col("text"))).alias("word")).join(F.broadcast(block), F.lower("word") == F.col("term"))
+        words = texts.select("i", "text", "h", F.explode(_vocabulary(F.col("text"))).alias("word")).join(F.broadcast(block), F.lower("word") == F.col("term"))
         spans = _matches("term", F.col("text"), F.concat(F.lit(r"(?<!\p{L})"), F.col("word"), F.lit(r"(?!\p{L})")))
         here = words.select("i", "h", "score", F.explode(spans).alias("s"))
         hits = here if hits is None else hits.unionByName(here)

@@ -271,6 +271,20 @@ def test_terms_of_frequent_entities(spark):
     assert terms(df.filter("doc_id < 30")) == set()  # in all, so that nothing can disclose it
 
 
+def test_terms_anywhere_in_the_document(spark):
+    """A heading discloses the footer's address, and a name may be short; an address doesn't disclose itself."""
+    far = " plain words of the town" * 40
+    rows = [(k, f"Zarniwoop, Kim 李明:{far} <k@vogon.org> {k}") for k in range(3)]
+    rows += [(5, f"Kim,{far} <x@else.org> <y@both.net>"), (6, f"{far} <x@else.org>, y@both.net"), (7, f"vogon, both{far}")]
+    rows += [(20 + k, far) for k in range(40)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = {i: {t[s["start"] : s["end"]] for s in got[i] if s["kind"] == "term"} for i, t in rows}
+    assert words[0] == {"Zarniwoop", "Kim", "李明"}
+    # Both addresses stand in the same documents: a word of one discloses the other.
+    assert words[5] == {"Kim"} and words[7] == {"both"}
+    assert not any(words[i] for i in words if i >= 20)
+
+
 def test_pii_edges(spark):
     df = spark.createDataFrame([(None, "a@b.co"), (1, "a@b.co"), (1, "a@b.co"), (2, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), len(r.base)) for r in pii.find(df).collect())
