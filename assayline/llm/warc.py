@@ -42,6 +42,16 @@ def base32_sha1(text: Column) -> Column:
     return F.concat(*[F.translate(F.lpad(F.conv(F.substring(digest, k, 10), 16, 32), 8, "0"), _HEX5, _B32) for k in (1, 11, 21, 31)])
 
 
+def _utc(time: Column) -> Column:
+    """ISO 8601 in UTC with six decimals, so that the order of texts is that of times."""
+    micros = F.unix_micros(time.cast("timestamp"))
+    rest = F.pmod(micros, F.lit(86_400_000_000))
+    days = F.date_add(F.lit("1970-01-01").cast("date"), ((micros - rest) / F.lit(86_400_000_000)).cast("int"))
+    part = lambda unit, size: F.lpad(F.pmod(F.floor(rest / F.lit(unit)), F.lit(size)).cast("string"), 2, "0")
+    second = F.concat(part(1_000_000, 60), F.lit("."), F.lpad(F.pmod(rest, F.lit(1_000_000)).cast("string"), 6, "0"))
+    return F.concat(days.cast("string"), F.lit("T"), part(3_600_000_000, 24), F.lit(":"), part(60_000_000, 60), F.lit(":"), second, F.lit("Z"))
+
+
 def write_archives(
     pages: DataFrame,
     path: str,
@@ -50,6 +60,7 @@ def write_archives(
     payload_col: str = "html",
     date: str = "1970-01-01T00:00:00Z",
     least_bytes: int = 0,
+    time_col: str | None = None,
 ) -> None:
     """A record for each row of ``pages`` in archives under ``path``.
 
@@ -57,12 +68,15 @@ def write_archives(
     becomes a response and the others revisits that refer to it; smaller payloads are
     responses. A null payload is empty, a null url is written as an empty URI, a null id
     is never referred to while its group has others. Rows that repeat the largest id of
-    their group are responses all. Line ends in a url are percent-encoded.
+    their group are responses all. Line ends in a url are percent-encoded. ``time_col``
+    has the times of capture, written in UTC to the microsecond; without it, or where it
+    is null, the time is ``date``.
     """
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     uri = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     uri = F.replace(F.replace(uri, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col(id_col).cast("string").alias("i"), F.col(id_col).alias("order"), uri.alias("u"), text.alias("t")).withColumn("d", base32_sha1(F.col("t")))
+    when = F.coalesce(_utc(F.col(time_col)), F.lit(date)) if time_col else F.lit(date)
+    rows = pages.select(F.col(id_col).cast("string").alias("i"), F.col(id_col).alias("order"), uri.alias("u"), text.alias("t"), when.alias("at")).withColumn("d", base32_sha1(F.col("t")))
     equal = rows.filter(F.octet_length("t") >= least_bytes).groupBy("d").agg(F.max("order").cast("string").alias("keep"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND keep IS NOT NULL").select("d", "keep")
     equal = cut(equal)
     few = equal.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -75,7 +89,8 @@ def write_archives(
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), line,
         F.lit("WARC-Record-ID: "), name(F.col("i")), line,
-        F.lit(f"WARC-Date: {date}\r\nWARC-Target-URI: "), F.col("u"), line,
+        F.lit("WARC-Date: "), F.col("at"), line,
+        F.lit("WARC-Target-URI: "), F.col("u"), line,
         F.lit("WARC-Payload-Digest: sha1:"), F.col("d"), line,
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("keep")), line)).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block,
@@ -231,13 +246,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def captured(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
+def captured(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, time_col: str | None = None) -> DataFrame:
     """Archives under ``path``, read back: the merged capture index, ids in their own type.
 
     Cases as for ``write_archives``; an empty table gives an empty index. Other columns of
     ``pages`` are not read, whatever their names.
     """
-    write_archives(pages, path, id_col, url_col, payload_col, least_bytes=least_bytes)
+    write_archives(pages, path, id_col, url_col, payload_col, least_bytes=least_bytes, time_col=time_col)
     kind = pages.schema[id_col].dataType
     index = cut(read_index(pages.sparkSession, path))
     merged = merge_index(index)

@@ -192,6 +192,15 @@ def test_damage_is_noticed():
         list(warc.records_of(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"))
 
 
+def test_captures_in_order_of_time(spark, tmp_path):
+    times = ["2024-03-05 00:00:00.5", "2024-03-05 00:00:00", None, "1969-12-31 23:59:59.000001", "2023-12-31 23:59:59"]
+    df = spark.createDataFrame([(k, "http://a.org/x", f"p{k}", t) for k, t in enumerate(times)], "page_id long, url string, html string, t string")
+    df = df.withColumn("t", df.t.cast("timestamp")).coalesce(1)
+    got = warc.captured(df, str(tmp_path / "w"), time_col="t").orderBy("range", "place").collect()
+    assert [r.page_id for r in got] == [3, 2, 4, 1, 0]
+    assert [r.captured_at for r in got] == ["1969-12-31T23:59:59.000001Z", "1970-01-01T00:00:00Z", "2023-12-31T23:59:59.000000Z", "2024-03-05T00:00:00.000000Z", "2024-03-05T00:00:00.500000Z"]
+
+
 # --- personal data ------------------------------------------------------------------
 
 PYTHON = {
