@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may carry; texts of 100 KB then stay within 100 MB.
-ARROW_ROWS = 1000
+#: Bytes of text that are worked on at once.
+WORKED_ON = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, ``spark.checkpoint.dir``. Only where the
-    setting is absent, as in tests, a temporary folder is set."""
+    """The folder that the cluster shares, ``spark.checkpoint.dir``. Where the setting is
+    absent, a temporary folder is set on a local master, as in tests; on a cluster a folder
+    of one machine would not do, so there it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
@@ -36,9 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, so that batches of long texts fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = WORKED_ON) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts in ``column`` have some ``most`` bytes, or one row each.
+
+    Spark itself bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``);
+    what is worked out of the texts takes many times their room, so slices are smaller.
+    """
+    for batch in batches:
+        if batch.num_rows <= 1 or batch.nbytes <= most:
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, shuffle_partitions
+from .common import bounded, cut
 from .word_hashes import mix, shingles, text_buffer, words
 
 BINS, BITS = 256, 4
@@ -100,12 +100,11 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text is empty; a text without words has the empty fingerprint, and one with
     fewer words than a shingle has its whole sequence as its one shingle. Equal texts
-    have equal fingerprints. Null ids, repeated rows and an empty table pass through.
+    have equal fingerprints; long texts are read whole. Null ids, repeated rows and an
+    empty table pass through.
     """
-    arrow_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(Fingerprints(texts, words_per_shingle).hexes(), pa.string())], names=["i", "f"])
 
@@ -113,33 +112,26 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, f string").select(F.col("i").alias(id_col), F.col("f").alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (b, guest, i, t) in which each range b of ids, largest first, ends with the
-    row that follows it: the head of the next range, or of the first after the last.
+_RESULT = "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[t]) for n, t in (x.split(" ") for x in ddl.split(", "))])
 
-    Ranges hold about as many ids each, by quantiles that one pass over the ids gives.
-    Only two numbers for each range come to the driver.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    n = shuffle_partitions(docs.sparkSession)
-    found = rows.select(F.percentile_approx("i", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(found))
-    # Range 0 has the largest ids; null ids come after the smallest.
-    ranges = F.when(F.col("i").isNull(), F.lit(len(cuts) + 1)).otherwise(
-        F.lit(len(cuts)) - F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0), lambda a, c: a + (c < F.col("i")).cast("int")) if cuts else F.lit(0)
-    )
-    heads = sorted((r["b"], r["head"]) for r in rows.select("i").groupBy(ranges.cast("int").alias("b")).agg(F.max("i").alias("head")).collect())
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-    here = rows.withColumn("b", ranges.cast("int"))
-    out = here.select("b", F.lit(0).alias("guest"), "i", "t")
-    for_guests = F.create_map(*[F.lit(x) for head, b in before.items() if head is not None for x in (head, b)]) if any(h is not None for h in before) else None
-    if for_guests is not None:
-        guests = F.when(F.col("i").isNull(), F.lit(before.get(None))).otherwise(F.element_at(for_guests, F.col("i"))) if None in before else F.element_at(for_guests, F.col("i"))
-        places = F.array_compact(F.array(F.struct(F.col("b"), F.lit(0).alias("guest")), F.when(guests.isNotNull(), F.struct(guests.cast("int").alias("b"), F.lit(1).alias("guest")))))
-        out = here.withColumn("place", F.explode(places)).select("place.b", "place.guest", "i", "t")
-    elif before:
-        out = out.unionByName(out.withColumn("guest", F.lit(1)))
-    return out.repartition("b").sortWithinPartitions("b", "guest", F.col("i").desc_nulls_last(), "t")
+
+def _compared(ids: list, texts: list[str], size: int) -> list[list]:
+    """The result's columns for all of ``texts`` but the last, each beside the one that follows."""
+    own = texts[:-1]
+    if not own:
+        return [[] for _ in range(7)]
+    new = [edited(a, b) for a, b in zip(own, texts[1:], strict=True)]
+    one, two = Fingerprints(texts, size), Fingerprints(new, size)
+    return [
+        ids, list(map(len, own)), [hashlib.sha256(t.encode()).hexdigest() for t in new], one.hexes()[:-1], two.hexes(),
+        compared(one.low[:-1], one.full[:-1], two.low, two.full).tolist(),
+        compared(one.low[:-1], one.full[:-1], one.low[1:], one.full[1:]).tolist(),
+    ]
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
@@ -150,42 +142,55 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edited_fingerprint, near_edited, near_next.
 
     Null ids follow the smallest id; rows that repeat an id come in the order of their
-    texts. A single row is its own next. Texts without words have the empty fingerprint,
-    are wholly like each other and not at all like others. An empty table gives an empty
-    result; other columns are not read.
+    texts' first 16 bytes, and then of a hash. A single row is its own next. Texts without
+    words have the empty fingerprint, are wholly like each other and not at all like
+    others. Long texts are read whole. An empty table gives an empty result; other columns
+    are not read.
+
+    Sampled splitters cut the rows into ranges, whatever ids repeat. A range compares its
+    own neighbours and hands on its first and last text; the last of each then meets the
+    first of the next range, so two texts a range are moved again. Only the numbers of the
+    ranges that have rows come to the driver.
     """
-    arrow_batches(docs.sparkSession)
-    names = ["i", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        for batch in batches:
-            rows = waiting + list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
-            pairs = [(a, b) for a, b in zip(rows[:-1], rows[1:], strict=True) if a[0] == b[0] and not a[1]]
-            waiting = rows[-1:]
-            if not pairs:
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t"))
+    rows = rows.select("i", "t", F.substring(F.col("t").cast("binary"), 1, 16).alias("p"), F.xxhash64("t").alias("x"), F.monotonically_increasing_id().alias("k"))
+    order = [F.col("i").desc_nulls_last(), F.col("p"), F.col("x"), F.col("k")]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("range"), "i", "t")
+    handed = f"{_RESULT}, range int, first string, last string"
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, before, ends = _schema(handed), None, None
+        for batch in bounded(batches, 2):
+            if not batch.num_rows:
                 continue
-            own, after, new = [a[3] for a, _ in pairs], [b[3] for _, b in pairs], [edited(a[3], b[3]) for a, b in pairs]
-            one, two = Fingerprints(own, words_per_shingle), Fingerprints(new, words_per_shingle)
-            # A row's next is nearly always the row behind it, which is worked out anyway.
-            last = Fingerprints(after[-1:], words_per_shingle)
-            if all(pairs[k][1] is pairs[k + 1][0] for k in range(len(pairs) - 1)):
-                low, full = np.concatenate([one.low[1:], last.low]), np.concatenate([one.full[1:], last.full])
+            here, ids, texts = (c.to_pylist() for c in batch.columns)
+            if before is None:
+                ends = (here[0], texts[0])
             else:
-                third = Fingerprints(after, words_per_shingle)
-                low, full = third.low, third.full
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([a[2] for a, _ in pairs], pa.int64()),
-                    pa.array(list(map(len, own)), pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
-                    pa.array(one.hexes(), pa.string()),
-                    pa.array(two.hexes(), pa.string()),
-                    pa.array(compared(one.low, one.full, two.low, two.full), pa.float64()),
-                    pa.array(compared(one.low, one.full, low, full), pa.float64()),
-                ],
-                names=names,
-            )
-
-    kinds = "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).mapInArrow(run, kinds).withColumnRenamed("i", id_col)
+                ids, texts = [before[0], *ids], [before[1], *texts]
+            before = ids[-1], texts[-1]
+            columns = _compared(ids[:-1], texts, words_per_shingle)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)), *(pa.nulls(len(columns[0]), f.type) for f in list(schema)[len(columns) :])], schema=schema)
+        if before is not None:
+            row = dict.fromkeys(schema.names) | {"i": before[0], "range": ends[0], "first": ends[1], "last": before[1]}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _schema(_RESULT)
+        for batch in bounded(batches, 1):
+            for i, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = _compared([i], [text, after], words_per_shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    found = cut(ranged.mapInArrow(within, handed))
+    ends = found.filter("range IS NOT NULL")
+    there = sorted(r["range"] for r in ends.select("range").collect())
+    inner = found.filter("range IS NULL").select(*_schema(_RESULT).names)
+    if not there:
+        return inner.withColumnRenamed("i", id_col)
+    behind = spark.createDataFrame(list(zip(there, there[1:] + there[:1], strict=True)), "range int, behind int")
+    firsts = ends.select(F.col("range").alias("behind"), F.col("first").alias("after"))
+    meeting = ends.select("range", "i", "last").join(behind, "range").join(firsts, "behind").select("i", "last", "after")
+    return inner.unionByName(meeting.mapInArrow(across, _RESULT)).withColumnRenamed("i", id_col)

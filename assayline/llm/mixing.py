@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut
+from .common import bounded, cut
 from .tokens import text_bytes
 
 #: Sources (some 50 bytes each) that a broadcast may have.
@@ -25,10 +25,9 @@ _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(i, source, size, quality): words of each text, and its share of letters, from 0.01 to 1."""
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             texts = text_bytes(batch.column(2))
             words = [len(t.split()) for t in texts]
             letters = [len(t) - len(t.translate(None, _LETTERS)) for t in texts]
@@ -46,7 +45,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     Sources in code point order, null last, have the weights in turn and share all
     words; a target stops at ``most`` times its source, and the excess goes to the
     others by weight until none is above. Capped sources are those first in the order
-    of cap over weight, so one pass over cumulative sums finds them.
+    of cap over weight, so one pass over cumulative sums finds them. The pass is one
+    task's, over one row of some 50 bytes for each source.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
     rank = F.row_number().over(order)
@@ -90,23 +90,25 @@ def mix(
     that, at most ``most`` times its size. The document in which a source's budget ends
     is taken if that comes nearer to the target.
 
-    A null text has size 0. A null source is a source, last in order. Rows with equal
-    keys (repeated ids) come in the order of their sizes. A source without words has
+    A null text has size 0; long texts are counted whole. A null source is a source, last
+    in order. Rows with equal keys (repeated or null ids) come in the order of their sizes. A source without words has
     target 0. An empty table gives an empty result. Other columns are not read.
     """
-    rows = cut(measured(docs, id_col, text_col, source_col).withColumn("u", unit(seed, F.col("i"))))
+    # The checkpoint fixes the rows' places, by which rows alike in all else are told apart.
+    rows = cut(measured(docs, id_col, text_col, source_col).withColumn("u", unit(seed, F.col("i"))).withColumn("at", F.monotonically_increasing_id()))
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     aims = cut(targets(sizes, weights, most))
     aims = aims.select(F.col("source").alias("aim"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
     aims = F.broadcast(aims) if aims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else aims
-    keyed = rows.join(aims, F.col("source").eqNullSafe(F.col("aim"))).select("i", "source", "size", "source_size", "target", "epochs", (-F.log("u") / F.col("quality")).alias("key"))
-    # Sampled splitters cut a large source into ranges of keys; range k comes before k + 1.
-    ranged = cut(keyed.repartitionByRange("source", "key").withColumn("range", F.spark_partition_id()))
+    keyed = rows.join(aims, F.col("source").eqNullSafe(F.col("aim"))).select("i", "source", "size", "source_size", "target", "epochs", (-F.log("u") / F.col("quality")).alias("key"), "at")
+    # Sampled splitters cut a large source into ranges of keys, and rows of one id as well; range k comes before k + 1.
+    order = [F.col("key"), F.col("i").asc_nulls_last(), F.col("size"), F.col("at")]
+    ranged = cut(keyed.repartitionByRange(F.col("source"), *order).withColumn("range", F.spark_partition_id()))
     starts = ranged.groupBy("source", "range").agg(F.sum("size").alias("words")).select(
         F.col("source").alias("s2"), F.col("range").alias("r2"),
         (F.sum("words").over(W.partitionBy("source").orderBy("range")) - F.col("words")).alias("ahead"),
     )
-    within = W.partitionBy("source", "range").orderBy("key", F.col("i").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy("source", "range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = ranged.withColumn("upto", F.sum("size").over(within)).join(starts, F.col("source").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")))
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
     chosen = (F.col("epochs") < most) & (F.col("ahead") + F.col("upto") - F.col("size") / 2 <= budget)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut
+from .common import bounded, cut
 from .tokens import MergeCounter, Remembered
 
 #: Pieces that one group holds on average, and so the most that is packed at once.
@@ -144,7 +144,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Remembered(MergeCounter(path))
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in bounded(batches, 1):
             row, piece, start, length, crc = [], [], [], [], []
             for k, ids in enumerate(table.ids(batch.column(1))):
                 ids = np.concatenate([ids.astype("<u4"), end])
@@ -183,7 +183,6 @@ def best_fit_pack(
     documents of their own; equal sizes go by the order in which rows come to a group.
     An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    arrow_batches(docs.sparkSession)
     pieces = cut(token_pieces(docs, path, capacity, end_id, id_col, text_col))
     whole = pieces.filter(F.col("length") == capacity)
     parts = pieces.filter(F.col("length") < capacity)

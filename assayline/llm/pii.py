@@ -185,9 +185,16 @@ def disclosing_terms(based: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, score): words that reveal an entity, with the highest probability of one.
 
     ``based`` has (i, h, spans) for every document, ``texts`` has (i, h, text). A document
-    counts once for each entity and word, wherever in it they stand; a word that a document
-    has only inside the entity doesn't count with it.
+    counts once for each entity and word, wherever in it they stand, and once however often
+    its row repeats; a word that a document has only inside the entity doesn't count with it.
     """
+    again = cut(based.groupBy("i", "h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("i").alias("i3"), F.col("h").alias("h3"), (F.col("rows") - 1).alias("more")))
+    surplus = again.agg(F.sum("more")).first()[0] or 0
+    if surplus:
+        repeated = F.col("i").eqNullSafe(F.col("i3")) & (F.col("h") == F.col("h3"))
+        marked = few(again, BROADCAST_ROWS)
+        once = texts.join(marked, repeated, "left_semi").groupBy("i", "h").agg(F.min("text").alias("text"))
+        texts = texts.join(marked, repeated, "left_anti").select("i", "h", "text").unionByName(once)
     mention = based.filter(F.size("spans") > 0).select("i", "h", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct()
     # Entities of the same documents have the same counts, so one of them stands for all.
     # What only one of them has inside stands beside the others.
@@ -215,7 +222,7 @@ def disclosing_terms(based: DataFrame, texts: DataFrame) -> DataFrame:
     if wanted.limit(TERMS_AT_ONCE + 1).count() <= TERMS_AT_ONCE:  # else all words are counted, and only counts are shuffled
         seen = seen.join(F.broadcast(wanted), "term", "left_semi")
     counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-    n = based.count()
+    n = based.count() - surplus
     share = F.col("c_te") / F.col("c_t")
     known = F.log2(F.lit(float(n)) / F.col("c_e"))
     return (

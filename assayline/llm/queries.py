@@ -43,12 +43,15 @@ def op3_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` has no time of capture, so a time of its own is made of each page's id."""
     path = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    seconds = F.lit(1_577_836_800) + F.pmod(F.col("page_id") * 7919, F.lit(31_536_000))
+    pages = table(spark, sf_dir, "pages").withColumn("captured", F.timestamp_seconds(seconds))
     try:
-        index = cut(warc.captured(table(spark, sf_dir, "pages"), path, least_bytes=0))
+        index = cut(warc.captured(pages, path, least_bytes=0, time_col="captured"))
     finally:
         warc.remove(spark, path)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "place")
 
 
 def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +71,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2, percent=80)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2, percent=80).drop("text_hash")
 
 
 def op10_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,17 +102,26 @@ FROM split LEFT JOIN (SELECT * FROM fits WHERE r = 1) f ON split.page_id = f.pag
 """
 
 OP4_SQL = """
-WITH hashed AS (
-  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+WITH rests AS (
+  SELECT page_id, html, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, html, split_part(split_part(rest, '?', 1), '#', 1) AS address, CASE WHEN strpos(rest, '?') > 0 THEN split_part(substr(rest, strpos(rest, '?')), '#', 1) ELSE '' END AS query FROM rests
+), hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h,
+         array_to_string(list_reverse(string_split(translate(split_part(address, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',') || ')'
+           || lower(CASE WHEN strpos(address, '/') > 0 THEN substr(address, strpos(address, '/')) ELSE '' END) || lower(query) AS url_key,
+         strftime(make_timestamp((1577836800 + page_id * 7919 % 31536000) * 1000000), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS captured_at
+  FROM split
 ), grouped AS (
-  SELECT *, max(page_id) OVER (PARTITION BY h) AS largest FROM hashed
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS largest, row_number() OVER (ORDER BY encode(url_key), captured_at) - 1 AS place FROM hashed
 )
 SELECT page_id, payload_bytes,
        translate(to_base(('0x' || substr(h, 1, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(h, 11, 10))::BIGINT, 32, 8)
                  || to_base(('0x' || substr(h, 21, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(h, 31, 10))::BIGINT, 32, 8),
                  '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
        CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = largest THEN NULL ELSE largest END AS refers_to
+       CASE WHEN page_id = largest THEN NULL ELSE largest END AS refers_to,
+       url_key, captured_at, place
 FROM grouped
 """
 

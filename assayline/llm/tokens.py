@@ -1,17 +1,21 @@
 """Token counts by rank-synchronous array merging, and token ids through the library.
 
 Texts are cut at ASCII white space, where the word tokenizer never joins tokens, and
-each distinct chunk is worked out once and remembered in a bounded table under a 64-bit
-hash of its bytes.
+each distinct chunk is worked out once and remembered in a bounded table. A hash finds a
+chunk there and its bytes confirm it.
 
 Counting holds the pre-tokens of all new chunks as one ragged array of symbols. In every
 round each pre-token finds its pair of lowest rank and merges all its occurrences at
 once, left to right; pre-tokens without a mergeable pair are done. A merge only makes
-pairs of higher rank, so a round equals the library's single steps.
+pairs of higher rank, so a round equals the library's single steps. A round costs what is
+left of the pre-token, so in a very long one (thousands of letters without a space) the
+rounds find the places of their rank in a queue instead, and all rounds together cost some
+n log n.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import unicodedata
@@ -23,11 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
-from .word_hashes import located, text_buffer
+from .common import bounded
+from .word_hashes import Words, located, text_buffer
 
-#: Chunks that a worker's table holds before it starts anew.
-REMEMBERED = 400_000
+#: Chunks, and ids of chunks, that a worker's table holds before it starts anew.
+REMEMBERED, REMEMBERED_IDS = 400_000, 8_000_000
+#: Symbols from which a pre-token is merged by a queue of ranks, not in arrays.
+LONG = 2_000
 _NONE = np.iinfo(np.int32).max
 _LATIN = "\u024f"
 _MARKS = frozenset(".,;:!?")
@@ -108,6 +114,7 @@ class MergeCounter:
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
         self.width = max(vocab.values()) + 1
         keys = left * self.width + right
+        self.keys, self.rank_of = keys, {}
         self.pairs = PairTable(keys)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -143,8 +150,55 @@ class MergeCounter:
             at = m.end()
         return out + self._pieces(chunk[at:])
 
+    def merge_long(self, pre: bytes) -> list[int]:
+        """The symbols that survive in one long pre-token: ranks in rising order, each merged
+        at all its places from the left, and new pairs put under their own rank."""
+        if not self.rank_of:
+            self.rank_of = {k: r for r, k in enumerate(self.keys.tolist())}
+        data = np.frombuffer(pre, np.uint8)
+        symbols = [*self.first[data[:-1]].tolist(), int(self.last[data[-1]])]
+        n, width, rank_of = len(symbols), self.width, self.rank_of
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        places: dict[int, list[int]] = {}
+        queue: list[int] = []
+
+        def put(k: int) -> None:
+            rank = rank_of.get(symbols[k] * width + symbols[after[k]])
+            if rank is not None:
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(queue, rank)
+                places[rank].append(k)
+
+        for k in range(n - 1):
+            put(k)
+        while queue:
+            rank = heapq.heappop(queue)
+            key, made = int(self.keys[rank]), int(self.made[rank])
+            for k in sorted(places.pop(rank)):
+                nxt = after[k]
+                if symbols[k] < 0 or nxt >= n or symbols[k] * width + symbols[nxt] != key:
+                    continue  # one of the two has been merged since
+                symbols[k], symbols[nxt] = made, -1
+                after[k] = after[nxt]
+                if after[k] < n:
+                    before[after[k]] = k
+                    put(k)
+                if before[k] >= 0:
+                    put(before[k])
+        return [x for x in symbols if x >= 0]
+
     def merge(self, pre: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols that survive all merges, end to end, and how many each pre-token has."""
+        long = {k: self.merge_long(x) for k, x in enumerate(pre) if len(x) >= LONG}
+        if not long:
+            return self._merge(pre)
+        ids, sizes = self._merge([x for k, x in enumerate(pre) if k not in long])
+        rest = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else ())
+        parts = [np.array(long[k], np.int64) if k in long else next(rest) for k in range(len(pre))]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _merge(self, pre: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, pre), np.int64, len(pre))
         data = np.frombuffer(b"".join(pre), np.uint8)
         ends = np.cumsum(lengths) - 1
@@ -201,8 +255,24 @@ class MergeCounter:
         return flat.astype(np.uint32), np.bincount(owner, weights=n, minlength=len(split)).astype(np.int64)
 
 
+class Growing:
+    """An array that takes more at its end; ``held[:used]`` is what it has."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.used + len(values) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
 class Remembered:
-    """The merged ids of chunks, found by a 64-bit hash of a chunk's bytes."""
+    """The merged ids of chunks, found by a hash of a chunk's bytes and confirmed by the bytes.
+
+    Chunks that meet another's hash are kept by their bytes in ``odd``.
+    """
 
     def __init__(self, merger: MergeCounter) -> None:
         self.merger = merger
@@ -210,38 +280,61 @@ class Remembered:
 
     def _anew(self) -> None:
         self.hashes, self.which = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        ids, sizes = self.merger.merged(chunks)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.which = np.insert(self.which, at, len(self.starts) + np.arange(len(chunks)))
-        self.starts = np.append(self.starts, self.used + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.used += len(ids)
+        self.starts, self.sizes, self.lengths = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.lanes, self.lane_at = Growing(np.uint32), Growing(np.uint64), np.zeros(1, np.int64)
+        self.odd: dict[bytes, int] = {}
+
+    def _learn(self, found: Words, body: bytes, which: np.ndarray) -> np.ndarray:
+        """Places of the chunks ``which`` of a batch, worked out and put at the end."""
+        begin, size = found.starts[which], found.lengths[which]
+        ids, sizes = self.merger.merged([body[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)])
+        place = len(self.starts) + np.arange(len(which))
+        self.starts = np.append(self.starts, self.flat.used + np.cumsum(sizes) - sizes)
+        self.sizes, self.lengths = np.append(self.sizes, sizes), np.append(self.lengths, size)
+        n = (size + 7) >> 3
+        before = np.cumsum(n) - n
+        self.lane_at = np.append(self.lane_at, self.lane_at[-1] + before + n)
+        self.lanes.add(found.lanes[np.repeat(found.lane_at[which] - before, n) + np.arange(int(n.sum()))])
+        self.flat.add(ids)
+        return place
+
+    def _unlike(self, found: Words, which: np.ndarray) -> np.ndarray:
+        """The chunks of a batch whose bytes are not those of the places given them."""
+        wrong = found.lengths != self.lengths[which]
+        n = np.where(wrong, 0, np.diff(found.lane_at))
+        before = np.cumsum(n) - n
+        step = np.arange(int(n.sum()))
+        own = found.lanes[np.repeat(found.lane_at[:-1] - before, n) + step] if wrong.any() else found.lanes
+        off = np.flatnonzero(own != self.lanes.held[np.repeat(self.lane_at[which] - before, n) + step])
+        if len(off):
+            wrong[np.searchsorted(before + n, off, side="right")] = True
+        return np.flatnonzero(wrong)
 
     def chunks_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The place here of every chunk of the texts, and n + 1 offsets of each text's."""
-        if len(self.starts) > REMEMBERED:
+        if len(self.starts) > REMEMBERED or self.flat.used > REMEMBERED_IDS:
             self._anew()
         data, offsets = text_buffer(texts)
-        hashes, starts, lengths, at = located(data, offsets, lower=False)
-        distinct, first, every = np.unique(hashes, return_index=True, return_inverse=True)
+        found = located(data, offsets, lower=False)
+        distinct, first, every = np.unique(found.hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.hashes, distinct)
         new = np.ones(len(distinct), bool)
         there = place < len(self.hashes)
         new[there] = self.hashes[place[there]] != distinct[there]
+        body = b""
         if new.any():
             body = data.tobytes()
-            begin, end = starts[first[new]], starts[first[new]] + lengths[first[new]]
-            self._learn(distinct[new], [body[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            put = self._learn(found, body, first[new])
+            self.hashes, self.which = np.insert(self.hashes, place[new], distinct[new]), np.insert(self.which, place[new], put)
             place = np.searchsorted(self.hashes, distinct)
-        return self.which[place][every.reshape(-1)], at
+        which = self.which[place][every.reshape(-1)]
+        for k in self._unlike(found, which).tolist():
+            body = body or data.tobytes()
+            chunk = body[found.starts[k] : found.starts[k] + found.lengths[k]]
+            if chunk not in self.odd:
+                self.odd[chunk] = int(self._learn(found, body, np.array([k]))[0])
+            which[k] = self.odd[chunk]
+        return which, found.at
 
     def counts(self, texts: pa.Array) -> list[int]:
         """Tokens of each text."""
@@ -256,7 +349,7 @@ class Remembered:
             own = which[a:b]
             size = self.sizes[own]
             before = np.cumsum(size) - size
-            yield self.flat[np.repeat(self.starts[own] - before, size) + np.arange(int(size.sum()))]
+            yield self.flat.held[np.repeat(self.starts[own] - before, size) + np.arange(int(size.sum()))]
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -272,11 +365,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     empty, with 0 tokens; null ids, repeated rows and an empty table pass through. Other
     columns are not read. ``path`` is the file's place on every machine.
     """
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Remembered(MergeCounter(path))
-        for batch in batches:
+        for batch in bounded(batches, 1):
             size = np.diff(text_buffer(batch.column(1))[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(table.counts(batch.column(1)), pa.int64())], names=["i", "b", "n"])
 

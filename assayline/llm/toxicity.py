@@ -1,16 +1,19 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic model over the words of a text and their beginnings is fitted on labelled
-texts. For texts that name a group of people, copies with the group's name swapped for
-another of its kind are made, and the fit is penalised by the squared change of the
-score's logit between a text and its copy, so that a name that merely stands near insults
-in the sample gains no weight of its own.
+texts. Every labelled text makes counterfactual pairs. One that names a group of people is
+paired with copies in which another name of its kind stands for it. One that names nobody
+is given a neutral sentence about a group, by a template; it is paired with the text
+without it and with the same sentence about another group. The fit is penalised by the
+squared change of the score's logit between the two of a pair, so that naming a group
+gains no weight of its own, whatever it stands beside in the sample.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -19,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut
+from .common import bounded, cut
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 SAMPLE = 10_000
-#: Features that a model has at most, by strength of association with the label.
-FEATURES = 2_000
-#: Rows of the sample that must have a feature, and how many standard deviations its toxic rows must be off.
+#: Rows of the sample that must have a feature, and how many standard deviations its toxic
+#: rows must be off, to be one of the model's; the features of groups' names always are.
 SEEN, DEVIATION = 5, 5.0
 #: Weights of the penalties: on changes under swaps, and on the sum of absolute weights.
 COUNTERFACTUAL, SPARSE = 5.0, 1e-4
@@ -49,6 +51,8 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres", "niñas", "niños"),
     ("musulmanes", "judíos", "cristianos", "inmigrantes", "refugiados"),
 )
+#: Neutral sentences about a group, whose name they are given.
+TEMPLATES = ("the {} of the town", "many {} live here", "my neighbours are {}", "a book about {}")
 _WORD = re.compile(r"[^\W\d_]+")
 _HEADS = (4, 5, 6)
 
@@ -71,11 +75,30 @@ def swapped(words: set[str], kinds: tuple[tuple[str, ...], ...], turn: int) -> s
     return {moved.get(w, w) for w in words} if moved else None
 
 
+def counterfactuals(text: str, kinds: tuple[tuple[str, ...], ...]) -> list[tuple[set[str], set[str]]]:
+    """Pairs of sets of words that differ in the group they name alone.
+
+    Which name and template a text without names gets depends on the text alone, so that
+    over many texts all names and templates come up alike.
+    """
+    words = words_of(text)
+    if swapped(words, kinds, 0) is not None:
+        return [(words, c) for turn in (1, 2) if (c := swapped(words, kinds, turn)) is not None]
+    if not kinds:
+        return []
+    draw = zlib.crc32(text.encode())
+    kind = kinds[draw % len(kinds)]
+    k, template = draw // len(kinds), TEMPLATES[draw // 7 % len(TEMPLATES)]
+    one, two = (words | words_of(template.format(kind[(k + j) % len(kind)])) for j in (0, 1))
+    return [(words | words_of(template.format("")), one), (one, two)]
+
+
 class Model:
-    """Weights by feature and an intercept; scores are probabilities of label 1."""
+    """Weights by feature and an intercept; scores are probabilities of label 1. ``pairs``
+    is the number of counterfactual pairs that it was fitted with."""
 
-    def __init__(self, weights: dict[str, float], intercept: float) -> None:
-        self.weights, self.intercept = weights, intercept
+    def __init__(self, weights: dict[str, float], intercept: float, pairs: int = 0) -> None:
+        self.weights, self.intercept, self.pairs = weights, intercept, pairs
         self.whole = {k: v for k, v in weights.items() if not k.endswith("*")}
         self.heads = [(n, {k[:-1]: v for k, v in weights.items() if k.endswith("*") and len(k) == n + 1}) for n in _HEADS]
 
@@ -88,51 +111,76 @@ class Model:
         return 1 / (1 + math.exp(-min(max(logit, -30.0), 30.0)))
 
 
-def fit(rows: list[tuple[int, list[int], list[list[int]]]], n: int, counterfactual: float = COUNTERFACTUAL, sparse: float = SPARSE) -> tuple[np.ndarray, float]:
-    """Weights and intercept from (label, features, features of each swapped copy).
+def neutral_mentions(model: Model, kinds: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[int, int, float]:
+    """How many of all neutral sentences about groups a model flags, of how many, and the
+    largest difference of score between a sentence and the same one without the name."""
+    scores = [(model.score(t.format(name)), model.score(t.format(""))) for t in TEMPLATES for kind in kinds for name in kind]
+    return sum(s >= 0.5 for s, _ in scores), len(scores), max((abs(a - b) for a, b in scores), default=0.0)
+
 
-    Proximal gradient steps on mean log loss, plus ``counterfactual`` times the mean
-    squared difference of logits over the copies, plus ``sparse`` times the absolute weights.
+class Objective:
+    """The smooth part of the loss of rows (label, features, pairs): mean log loss, plus
+    ``counterfactual`` times the mean squared difference of logits over all pairs.
+
+    A pair has the features that only its first text has, as c + 1, and those that only
+    its second has, as -(c + 1).
     """
-    if not rows:
-        return np.zeros(n), 0.0
-    y = np.array([r[0] for r in rows], float)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.array([c for r in rows for c in r[1]], np.int64)
-    # A copy's difference: +1 for features it lost, -1 for those it gained.
-    turns = [(set(r[1]), set(c)) for r in rows for c in r[2]]
-    drow = np.array([k for k, (a, b) in enumerate(turns) for _ in a ^ b], np.int64)
-    dcol = np.array([c for a, b in turns for c in a ^ b], np.int64)
-    dval = np.array([1.0 if c in a else -1.0 for a, b in turns for c in a ^ b])
-    w, b = np.zeros(n), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
-    most = np.bincount(row, minlength=len(rows)).max(initial=0) + 1
-    # The largest eigenvalue of the Hessian bounds the step, by power iteration.
-    v = np.full(n + 1, 1.0)
-
-    def curvature(v: np.ndarray) -> np.ndarray:
-        z = (np.bincount(row, v[col], len(rows)) + v[n]) / (4 * len(rows))
-        out = np.append(np.bincount(col, z[row], n), z.sum())
-        if len(turns):
-            d = np.bincount(drow, dval * v[dcol], len(turns)) * (2 * counterfactual / len(turns))
-            out[:n] += np.bincount(dcol, dval * d[drow], n)
+
+    def __init__(self, rows: list[tuple[int, list[int], list[list[int]]]], n: int, counterfactual: float) -> None:
+        self.n, self.rows, self.counterfactual = n, len(rows), counterfactual
+        self.y = np.array([r[0] for r in rows], float)
+        self.row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        self.col = np.array([c for r in rows for c in r[1]], np.int64)
+        pairs = [p for r in rows for p in r[2]]
+        self.pairs = len(pairs)
+        signed = np.array([c for p in pairs for c in p], np.int64)
+        self.drow, self.dcol, self.dval = np.repeat(np.arange(len(pairs)), list(map(len, pairs))), np.abs(signed) - 1, np.sign(signed).astype(float)
+
+    def _differences(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.drow, self.dval * w[self.dcol], self.pairs)
+
+    def _spread(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.dcol, self.dval * d[self.drow], self.n) * (2 * self.counterfactual / self.pairs)
+
+    def loss(self, w: np.ndarray, b: float) -> float:
+        z = np.bincount(self.row, w[self.col], self.rows) + b
+        out = float((np.logaddexp(0, z) - self.y * z).mean())
+        return out + self.counterfactual * float((self._differences(w) ** 2).mean()) if self.pairs else out
+
+    def gradient(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(self.row, w[self.col], self.rows) + b, -30, 30)))
+        g = np.bincount(self.col, (p - self.y)[self.row], self.n) / self.rows
+        return g + self._spread(self._differences(w)) if self.pairs else g, float((p - self.y).mean())
+
+    def curvature(self, v: np.ndarray) -> np.ndarray:
+        """A matrix that bounds the Hessian, times (weights, intercept)."""
+        z = (np.bincount(self.row, v[self.col], self.rows) + v[self.n]) / (4 * self.rows)
+        out = np.append(np.bincount(self.col, z[self.row], self.n), z.sum())
+        if self.pairs:
+            out[: self.n] += self._spread(self._differences(v))
         return out
 
-    step = 1 / most
+
+def fit(rows: list[tuple[int, list[int], list[list[int]]]], n: int, counterfactual: float = COUNTERFACTUAL, sparse: float = SPARSE) -> tuple[np.ndarray, float]:
+    """Weights and intercept that make ``Objective`` plus ``sparse`` times the absolute
+    weights least, by accelerated proximal gradient steps."""
+    if not rows:
+        return np.zeros(n), 0.0
+    f = Objective(rows, n, counterfactual)
+    w, b = np.zeros(n), math.log((f.y.mean() + 1e-6) / (1 - f.y.mean() + 1e-6))
+    # The largest eigenvalue bounds the step, by power iteration.
+    v, step = np.full(n + 1, 1.0), 1.0
     for _ in range(30):
-        u = curvature(v)
+        u = f.curvature(v)
         norm = np.linalg.norm(u)
         if not norm:
             break
         step, v = 1 / (1.1 * norm / np.linalg.norm(v)), u / norm
     at, bt, momentum = w.copy(), b, 1.0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, at[col], len(rows)) + bt, -30, 30)))
-        g = np.bincount(col, (p - y)[row], n) / len(rows)
-        if len(turns):
-            d = np.bincount(drow, dval * at[dcol], len(turns)) * (2 * counterfactual / len(turns))
-            g += np.bincount(dcol, dval * d[drow], n)
+        g, gb = f.gradient(at, bt)
         x = at - step * g
-        new, new_b = np.sign(x) * np.maximum(np.abs(x) - step * sparse, 0), bt - step * (p - y).mean()
+        new, new_b = np.sign(x) * np.maximum(np.abs(x) - step * sparse, 0), bt - step * gb
         following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         at, bt = new + (momentum - 1) / following * (new - w), new_b + (momentum - 1) / following * (new_b - b)
         w, b, momentum = new, new_b, following
@@ -152,15 +200,15 @@ def train(
     """A model from at most ``sample`` labelled rows whose id ``usable`` admits.
 
     Null ids, labels other than 0 and 1, and labelled ids without a document are passed
-    over; texts that repeat in the sample count once each time. Without rows of both
-    labels the model scores every text alike.
+    over. An id with labels of both kinds is toxic, and one with several texts counts with
+    the least of them. A null text is empty; long texts are read whole. Without rows of
+    both labels the model scores every text alike.
     """
-    arrow_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("i IS NOT NULL AND y IN (0, 1)").filter(usable(F.col("i")))
     chosen = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     # The sample's bound makes it small enough to send everywhere.
-    learning = cut(texts.join(F.broadcast(chosen), "i").select("y", "t"))
+    learning = cut(texts.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("y", "t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()
@@ -180,23 +228,25 @@ def train(
     rate = toxic / rows
     off = F.abs(F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
     counted = learning.mapInArrow(count, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    strong = counted.filter((F.col("n") >= SEEN) & (off >= DEVIATION)).orderBy(off.desc(), "f").limit(FEATURES).collect()
-    index = {r["f"]: k for k, r in enumerate(strong)}
+    # Bounded by the sample's words.
+    strong = {r["f"] for r in counted.filter((F.col("n") >= SEEN) & (off >= DEVIATION)).select("f").collect()}
+    named = features_of({w for kind in kinds for name in kind for t in TEMPLATES for w in words_of(t.format(name))}) if kinds else set()
+    index = {f: k for k, f in enumerate(sorted(strong | named))}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = lambda words: sorted(index[x] for x in features_of(words) & index.keys())
+        find = lambda words: {index[x] for x in features_of(words) & index.keys()}
         for batch in batches:
-            own, copies = [], []
+            own, pairs = [], []
             for t in batch.column(1).to_pylist():
-                words = words_of(t)
-                own.append(find(words))
-                copies.append([find(c) for turn in (1, 2) if (c := swapped(words, kinds, turn)) is not None])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(copies, pa.list_(pa.list_(pa.int32())))], names=["y", "x", "c"])
+                own.append(sorted(find(words_of(t))))
+                both = [(find(a), find(b)) for a, b in counterfactuals(t, kinds)]
+                pairs.append([[*(c + 1 for c in sorted(a - b)), *(-c - 1 for c in sorted(b - a))] for a, b in both])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.int32())))], names=["y", "x", "d"])
 
-    # Bounded by the sample: at most SAMPLE rows of indexes into at most FEATURES features.
-    data = learning.mapInArrow(indexed, "y int, x array<int>, c array<array<int>>").orderBy("y", F.col("x"), F.col("c")).collect()
-    weights, intercept = fit([(r["y"], r["x"], r["c"]) for r in data], len(index))
-    return Model({f: float(weights[k]) for f, k in index.items() if weights[k]}, float(intercept))
+    # Bounded by the sample: a list of features and of differences for each of its rows.
+    data = sorted((r["y"], r["x"], r["d"]) for r in learning.mapInArrow(indexed, "y int, x array<int>, d array<array<int>>").collect())
+    weights, intercept = fit(data, len(index))
+    return Model({f: float(weights[k]) for f, k in index.items() if weights[k]}, float(intercept), sum(len(d) for _, _, d in data))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,10 +256,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty, and an empty text has the score of a text without any known feature. Null ids,
     repeated rows and an empty table pass through.
     """
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             found = [model.score(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["i", "score"])
 
@@ -223,11 +272,10 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", below: float =
 
     Cases as for ``score``; rows are not moved between partitions.
     """
-    arrow_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, at):
             yield batch.filter(pa.array([model.score(t or "") < below for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,10 +16,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
 
-#: Rules that a broadcast trie may have; some 500 bytes each.
-MOST_RULES = 1_000_000
+#: Rules that a broadcast trie may have, some 500 bytes each; more are joined as a table.
+MOST_RULES = 200_000
 _UPPER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
 
 
@@ -42,13 +41,9 @@ class Trie:
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]) -> None:
         self.root = _Host()
-        n = 0
         for verdict, host, path in rules:
             if verdict not in ("allow", "block"):
                 raise ValueError(f"verdict {verdict!r}")
-            n += 1
-            if n > MOST_RULES:
-                raise ValueError(f"more than {MOST_RULES} rules")
             node = self.root
             host = host.translate(_UPPER)
             for label in reversed(host.split(".")) if host else ():
@@ -111,10 +106,15 @@ def judge(
     A rule fits its host and all subdomains, if the path begins with the rule's. A null
     url, or one without ``://``, has an empty host and path and fits only rules with an
     empty host. Null ids, repeated rows and an empty table pass through; rules that
-    repeat count once, and a block wins over an equal allow. Other columns are not read.
+    repeat count once, and a block wins over an equal allow. Long urls are read whole.
+    Other columns are not read. Up to ``MOST_RULES`` rules are a broadcast trie; more are
+    a table, joined to the beginnings that the urls have, with the same result.
     """
     spark = pages.sparkSession
-    arrow_batches(spark)
+    rules = list(rules)
+    rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"))
+    if len(rules) > MOST_RULES:
+        return _joined(rows, rules, default).withColumnRenamed("i", id_col)
     trie = spark.sparkContext.broadcast(cloudpickle.dumps(Trie(rules)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,5 +133,34 @@ def judge(
                 names=["i", "host", "path", "rule", "verdict"],
             )
 
-    rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"))
     return rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, host string, path string, rule string, verdict string").withColumnRenamed("i", id_col)
+
+
+def _joined(rows: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
+    """The verdicts by a join of (host, path beginning): a url has one of each for every
+    label of its host and every length that a rule's path has, and the longest fit wins.
+
+    Distinct urls are joined, so that no url that many rows have meets the rules more than once.
+    """
+    spark = rows.sparkSession
+    for verdict, _, _ in rules:
+        if verdict not in ("allow", "block"):
+            raise ValueError(f"verdict {verdict!r}")
+    named = [(v, h.translate(_UPPER), p) for v, h, p in rules]
+    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, _, p in named})])
+    table = spark.createDataFrame(named, "v string, rhost string, rpath string").groupBy("rhost", "rpath").agg(F.max("v").alias("v"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parts(u) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], names=["i", "host", "path"])
+
+    urls = rows.mapInArrow(split, f"i {rows.schema['i'].dataType.simpleString()}, host string, path string")
+    labels = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.split("host", r"\."))
+    suffixes = F.transform(F.sequence(F.lit(0), F.size(labels)), lambda k: F.struct(k.alias("n"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".").alias("rhost")))
+    starts = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    asked = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("s")).select("host", "path", "s.n", "s.rhost", F.explode(starts).alias("rpath"))
+    best = asked.join(table, ["rhost", "rpath"]).groupBy("host", "path").agg(F.max(F.struct("n", F.length("rpath").alias("size"), "rhost", "rpath", "v")).alias("best"))
+    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.concat("best.rhost", "best.rpath").alias("rule"), F.col("best.v").alias("verdict"))
+    out = urls.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    return out.select("i", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -6,8 +6,9 @@ that close a record, and reads them whole as binary files, so any store that Spa
 reaches will do.
 
 Each archive is one capture run. Its entries are sorted by URL key and time where it is
-read; sampled splitters cut the runs into ranges, and the pieces of a range are merged by
-a loser tree. A splitter is a whole sort key, so captures of one URL are cut as well.
+read; sampled splitters cut the sorted run into pieces, a piece travels to its range as
+one row, and a loser tree merges the pieces of a range, which are not sorted again. A
+splitter is a whole sort key, so captures of one URL are cut as well.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut
+from .common import cut, few, shuffle_partitions
 from .url_filter import parts
 
-#: Records of one archive; at 100 KB each it has 50 MB.
-RECORDS = 500
+#: Records and bytes of one archive, which holds one record more at most.
+RECORDS, ARCHIVE_BYTES = 5_000, 32 << 20
 #: Repeated payloads (60 bytes each) that a broadcast may have.
 BROADCAST_ROWS = 200_000
 #: Entries of a range on average, and entries sampled for splitters at most.
@@ -66,21 +70,23 @@ def write_archives(
 
     Of rows with equal payloads of at least ``least_bytes`` bytes that with the largest id
     becomes a response and the others revisits that refer to it; smaller payloads are
-    responses. A null payload is empty, a null url is written as an empty URI, a null id
-    is never referred to while its group has others. Rows that repeat the largest id of
-    their group are responses all. Line ends in a url are percent-encoded. ``time_col``
-    has the times of capture, written in UTC to the microsecond; without it, or where it
-    is null, the time is ``date``.
+    responses. Payloads are equal when their SHA-256 is, and their SHA-1 is written. A
+    null payload is empty, a null url is written as an empty URI, a null id is never
+    referred to while its group has others. Rows that repeat the largest id of their group
+    are responses all. Line ends in a url are percent-encoded. ``time_col`` has the times
+    of capture, written in UTC to the microsecond; without it, or where it is null, the
+    time is ``date``.
+
+    An archive ends after ``RECORDS`` records or ``ARCHIVE_BYTES`` bytes, so a payload may
+    be as long as Spark's strings.
     """
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     uri = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     uri = F.replace(F.replace(uri, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     when = F.coalesce(_utc(F.col(time_col)), F.lit(date)) if time_col else F.lit(date)
-    rows = pages.select(F.col(id_col).cast("string").alias("i"), F.col(id_col).alias("order"), uri.alias("u"), text.alias("t"), when.alias("at")).withColumn("d", base32_sha1(F.col("t")))
-    equal = rows.filter(F.octet_length("t") >= least_bytes).groupBy("d").agg(F.max("order").cast("string").alias("keep"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND keep IS NOT NULL").select("d", "keep")
-    equal = cut(equal)
-    few = equal.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(equal) if few else equal, "d", "left")
+    rows = pages.select(F.col(id_col).cast("string").alias("i"), F.col(id_col).alias("order"), uri.alias("u"), text.alias("t"), when.alias("at")).withColumn("d", base32_sha1(F.col("t"))).withColumn("e", F.sha2("t", 256))
+    equal = rows.filter(F.octet_length("t") >= least_bytes).groupBy("e").agg(F.max("order").cast("string").alias("keep"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND keep IS NOT NULL")
+    joined = _with_kept(rows, cut(equal))
     revisit = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("i"))
     line = F.lit("\r\n")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("t").cast("string"), F.lit(_END))
@@ -95,7 +101,39 @@ def write_archives(
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("keep")), line)).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block,
     )
-    joined.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS).text(path)
+    dealt = joined.select(record.alias("value")).mapInArrow(_dealt, "value string, archive int")
+    dealt.write.partitionBy("archive").option("lineSep", _END).text(path)
+
+
+def _with_kept(rows: DataFrame, equal: DataFrame) -> DataFrame:
+    """``rows`` with ``keep``, the id that stays of payloads equal to theirs, or null.
+
+    ``equal`` (e, keep, c) is broadcast if it is small. If it isn't, what is broadcast are
+    the payloads that more than a task's share of the rows have, and the rest is joined by
+    a shuffle, in which the rows found already are spread.
+    """
+    kept = equal.select("e", "keep")
+    known = few(kept, BROADCAST_ROWS)
+    if known is kept:
+        parts = shuffle_partitions(rows.sparkSession)
+        share = (equal.agg(F.sum("c")).first()[0] or 0) // parts
+        hot = equal.filter(F.col("c") > share).select(F.col("e").alias("hot"), F.col("keep").alias("hot_keep"))
+        marked = rows.join(F.broadcast(hot), F.col("e") == F.col("hot"), "left").withColumn("key", F.when(F.col("hot").isNotNull(), F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("e")))
+        return marked.join(equal.select(F.col("e").alias("key"), "keep"), "key", "left").withColumn("keep", F.coalesce("keep", "hot_keep"))
+    return rows.join(known, "e", "left")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records with the number of their archive among those of their task."""
+    archive, records, size = 0, 0, 0
+    for batch in batches:
+        out = []
+        for n in pc.binary_length(batch.column(0)).to_pylist():
+            if records >= RECORDS or size >= ARCHIVE_BYTES:
+                archive, records, size = archive + 1, 0, 0
+            out.append(archive)
+            records, size = records + 1, size + n
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["value", "archive"])
 
 
 def records_of(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -150,7 +188,6 @@ def _sort_key(entry: tuple) -> tuple:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """An entry for each record of the archives under ``path``, sorted within each archive."""
-    arrow_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(_entries, _ENTRY)
 
@@ -190,11 +227,12 @@ class LoserTree:
 
 
 def merge_index(index: DataFrame) -> DataFrame:
-    """The entries with their place in the global order by URL key and time: (range, place).
+    """The entries with their range and place in the global order by URL key and time.
 
-    Every entry of range k comes before those of range k + 1. A range holds some
-    ``RANGE`` entries, whatever their keys, and at most a bounded sample of sort keys
-    comes to the driver. An empty index gives an empty result.
+    ``index`` has sorted runs, as ``read_index`` gives them. Every entry of range k comes
+    before those of range k + 1; ``place`` counts from 0 over all ranges. A range holds some
+    ``RANGE`` entries, whatever their keys, and at most a bounded sample of sort keys comes
+    to the driver. An empty index gives an empty result.
     """
     n = index.count()
     ranges = -(-n // RANGE)
@@ -205,39 +243,45 @@ def merge_index(index: DataFrame) -> DataFrame:
         keys = sorted({drawn[k * len(drawn) // ranges] for k in range(1, ranges)}) if drawn else []
 
     def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each stretch of a batch that has one run's entries of one range."""
         for batch in batches:
+            if not batch.num_rows:
+                continue
             columns = [batch.column(k).to_pylist() for k in (0, 1, 8, 9)]
-            at = [bisect_right(keys, k) for k in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], names=["range", *_NAMES])
+            at = np.fromiter((bisect_right(keys, k) for k in zip(*columns, strict=True)), np.int32, batch.num_rows)
+            run = np.unique(columns[2], return_inverse=True)[1].reshape(-1)
+            begins = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (run[1:] != run[:-1])))
+            offsets = pa.array(np.append(begins, batch.num_rows), pa.int32())
+            rows = pa.StructArray.from_arrays(batch.columns, names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(at[begins]), pa.ListArray.from_arrays(offsets, rows)], names=["range", "run"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("range", pa.int32()), ("place", pa.int64()), *_schema()])
+        schema = pa.schema([("range", pa.int32()), ("within", pa.int64()), *_schema()])
+        now, runs = None, []
 
-        def done(at: int, runs: list[list]) -> pa.RecordBatch:
-            ordered = [(at, k, *x) for k, x in enumerate(LoserTree(runs, _sort_key))]
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in ordered], schema=schema)
+        def done() -> pa.RecordBatch:
+            rows = list(LoserTree(runs, _sort_key))
+            columns = [[now] * len(rows), range(len(rows)), *zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        now, run, runs = None, None, []
         for batch in batches:
-            for at, *entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if at != now:
                     if runs:
-                        yield done(now, runs)
-                    now, run, runs = at, None, []
-                if entry[8] != run:
-                    run = entry[8]
-                    runs.append([])
-                runs[-1].append(tuple(entry))
+                        yield done()
+                    now, runs = at, []
+                runs.append(list(zip(*(c.to_pylist() for c in run.values.flatten()), strict=True)))
         if runs:
-            yield done(now, runs)
-
-    pieces = index.mapInArrow(cut_runs, f"range int, {_ENTRY}")
-    # Within a run the archive's order is already that of the keys: the sort brings runs together.
-    return (
-        pieces.repartition("range")
-        .sortWithinPartitions("range", "archive", "url_key", "captured_at", "offset")
-        .mapInArrow(merge, f"range int, place long, {_ENTRY}")
-    )
+            yield done()
+
+    entry = ", ".join(f"{n}: {t}" for n, t in (x.split(" ") for x in _ENTRY.split(", ")))
+    pieces = index.mapInArrow(cut_runs, f"range int, run array<struct<{entry}>>")
+    merged = cut(pieces.repartition("range").sortWithinPartitions("range").mapInArrow(merge, f"range int, within long, {_ENTRY}"))
+    # One row for each range, and so one in some RANGE entries.
+    counts = merged.groupBy("range").agg(F.count(F.lit(1)).alias("c"))
+    before = cut(counts.select("range", (F.sum("c").over(W.orderBy("range")) - F.col("c")).alias("before")))
+    placed = merged.join(few(before, BROADCAST_ROWS), "range")
+    return placed.select("range", (F.col("before") + F.col("within")).alias("place"), *_NAMES)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -249,8 +293,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def captured(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, time_col: str | None = None) -> DataFrame:
     """Archives under ``path``, read back: the merged capture index, ids in their own type.
 
-    Cases as for ``write_archives``; an empty table gives an empty index. Other columns of
-    ``pages`` are not read, whatever their names.
+    Cases as for ``write_archives``; an empty table gives an empty index. Equal keys and
+    times come by archive and offset. Other columns of ``pages`` are not read, whatever
+    their names.
     """
     write_archives(pages, path, id_col, url_col, payload_col, least_bytes=least_bytes, time_col=time_col)
     kind = pages.schema[id_col].dataType

@@ -6,6 +6,8 @@ making a Python string for any of them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = _U(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,8 +45,27 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def located(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and length of every word ``[^\\x20\\x09-\\x0D]+``, and n + 1 offsets of each text's words."""
+@dataclass
+class Words:
+    """All words ``[^\\x20\\x09-\\x0D]+`` of some texts: hash, first byte and length of each,
+    ``at`` (n + 1 offsets of each text's words), and the words' bytes, eight to a number,
+    with n + 1 offsets of each word's numbers."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    at: np.ndarray
+    lanes: np.ndarray
+    lane_at: np.ndarray
+
+
+def located(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+    """The words of texts that lie in one buffer.
+
+    A word's hash adds up one scrambled number for each eight of its bytes, which depends
+    on their place too, so that no rearrangement of a word's parts keeps its hash. Unlike
+    words can still meet in 64 bits; who needs to know compares the lanes.
+    """
     n = len(offsets) - 1
     inside = ~_SPACE[data]
     begins = inside.copy()
@@ -52,23 +74,25 @@ def located(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts, starts, np.zeros(n + 1, np.int64)
-    letters = data[inside]
-    letters = _LOWER[letters] if lower else letters
-    at = np.cumsum(inside, dtype=np.int64)[starts] - 1
-    lengths = np.diff(np.append(at, len(letters)))
-    place = np.arange(len(letters), dtype=np.int64) - np.repeat(at, lengths)
-    powers = np.full(int(lengths.max()), _BASE)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    hashes = np.add.reduceat((letters.astype(np.uint64) + _U(1)) * powers[place], at)
-    return mix(hashes), starts, lengths, np.searchsorted(starts, offsets)
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint64), none, none, np.zeros(n + 1, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    rank = np.cumsum(inside, dtype=np.int64)
+    lengths = np.diff(np.append(rank[starts] - 1, rank[-1]))
+    size = (lengths + 7) >> 3
+    lane_at = np.append(0, np.cumsum(size))
+    within = np.arange(lane_at[-1]) - np.repeat(lane_at[:-1], size)
+    letters = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data),), "<u8", letters, strides=(1,))
+    lanes = eights[np.repeat(starts, size) + 8 * within] & _KEEP[np.minimum(np.repeat(lengths, size) - 8 * within, 8)]
+    places = mix(np.arange(1, int(size.max()) + 1, dtype=np.uint64) * _BASE)
+    hashes = np.add.reduceat(mix(lanes ^ places[within]), lane_at[:-1])
+    return Words(mix(hashes ^ (lengths.astype(np.uint64) * _BASE)), starts, lengths, np.searchsorted(starts, offsets), lanes, lane_at)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and n + 1 offsets of each text's words."""
-    hashes, _, _, at = located(data, offsets, lower)
-    return hashes, at
+    found = located(data, offsets, lower)
+    return found.hashes, found.at
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
