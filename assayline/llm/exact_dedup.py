@@ -25,13 +25,13 @@ BROADCAST_ROWS = 100_000
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """``rows`` (i, t) with their range key: head p, and 0 or, for what is hot, hash q and salt s.
+    """``rows`` (i, t, c) with their range key: head p, and 0 or, for what is hot, hash q and salt s.
 
     Every head's and text's share of the bytes is counted, by 72 bytes a row; hot is what
     has more than one in so many parts as the shuffle has, so there are no more than that.
     """
     parts = shuffle_partitions(rows.sparkSession)
-    headed = rows.select("i", "t", F.substring(F.col("t").cast("binary"), 1, SPLITTER_BYTES).alias("p"), F.xxhash64("t").alias("x"))
+    headed = rows.select("i", "t", "c", F.substring(F.col("t").cast("binary"), 1, SPLITTER_BYTES).alias("p"), F.xxhash64("t").alias("x"))
     counts = cut(headed.groupBy("p", "x").agg(F.sum(F.octet_length("t") + F.lit(SPLITTER_BYTES)).cast("long").alias("w")))
     total = counts.agg(F.sum("w")).first()[0] or 0
     heads = counts.groupBy("p").agg(F.sum("w").alias("w")).filter(F.col("w") * parts > total).select(F.col("p").alias("hot_p"))
@@ -40,11 +40,11 @@ def _keyed(rows: DataFrame) -> DataFrame:
     by_text = by_head.join(F.broadcast(cut(texts)), (F.col("p") == F.col("hot_text")) & (F.col("x") == F.col("hot_x")), "left")
     # Rows that repeat an id have their place in the input, too, to tell them apart.
     salt = F.pmod(F.xxhash64("i", F.monotonically_increasing_id()), F.col("salts"))
-    return by_text.select("i", "t", "p", F.when(F.col("hot_p").isNotNull(), F.col("x")).otherwise(0).alias("q"), F.coalesce(salt, F.lit(-1)).alias("s"))
+    return by_text.select("i", "t", "c", "p", F.when(F.col("hot_p").isNotNull(), F.col("x")).otherwise(0).alias("q"), F.coalesce(salt, F.lit(-1)).alias("s"))
 
 
 def sorted_groups(rows: DataFrame, keep: str) -> DataFrame:
-    """(i, h, r, top, n, s, g, t) for ``rows`` (i, t): what neighbours in the sorted order say.
+    """(i, h, r, top, n, s, g, t, c) for ``rows`` (i, t, c): what neighbours in the sorted order say.
 
     ``top`` and ``n`` are the best id and the size of the row's group of equal neighbours,
     ``r`` its place there and ``g`` the group's number. ``s`` is -1 for a group that is
@@ -56,7 +56,7 @@ def sorted_groups(rows: DataFrame, keep: str) -> DataFrame:
     r = F.row_number().over(same.orderBy(first))
     return cut(
         ranged.select(
-            "i", F.sha2("t", 256).alias("h"), r.alias("r"), F.first("i").over(same.orderBy(first)).alias("top"), F.count(F.lit(1)).over(same).alias("n"), "s",
+            "i", "c", F.sha2("t", 256).alias("h"), r.alias("r"), F.first("i").over(same.orderBy(first)).alias("top"), F.count(F.lit(1)).over(same).alias("n"), "s",
             F.min("k").over(same).alias("g"), F.when((F.col("s") >= 0) & (r == 1), F.col("t")).alias("t"),
         )
     )
@@ -68,12 +68,14 @@ def content_sort(
     text_col: str = "text",
     keep: str = "smallest",
     normalise: Callable[[Column], Column] | None = None,
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their normalised bytes are; without ``normalise`` nothing is
     changed. ``keep`` says whether the smallest or the largest id of a group stays. The
-    digest is for the caller and decides nothing.
+    digest is for the caller and decides nothing. ``carry`` names further columns of the
+    result, small ones, worked out of the columns of ``docs``.
 
     A null text counts as empty, and empty texts form a group like any other. Long texts
     are compared whole. A null id stays only in a group without other ids (keep_id is then
@@ -83,7 +85,8 @@ def content_sort(
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marks = sorted_groups(docs.select(F.col(id_col).alias("i"), (normalise(text) if normalise else text).alias("t")), keep)
+    carried = F.struct(*[c.alias(n) for n, c in carry.items()]) if carry else F.lit(None).cast("int")
+    marks = sorted_groups(docs.select(F.col(id_col).alias("i"), (normalise(text) if normalise else text).alias("t"), carried.alias("c")), keep)
     # The parts of hot texts: no more than twice the parts of a shuffle, unless hashes meet.
     parts = marks.filter("s >= 0 AND r = 1").select("g", "top", "n", "t")
     whole = W.partitionBy("t")
@@ -97,4 +100,5 @@ def content_sort(
         F.coalesce("size", "n").alias("group_size"),
         ((F.col("r") == 1) & F.coalesce("leads", F.lit(True))).alias("kept"),
         F.col("h").alias("text_sha256"),
+        *[F.col(f"c.{n}").alias(n) for n in carry or ()],
     )

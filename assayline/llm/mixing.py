@@ -24,7 +24,7 @@ _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(i, source, size, quality): words of each text, and its share of letters, from 0.01 to 1."""
+    """(i, source, x, size, quality): hash and words of each text, and its share of letters, from 0.01 to 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 2):
@@ -33,10 +33,11 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
             letters = [len(t) - len(t.translate(None, _LETTERS)) for t in texts]
             solid = [len(t.translate(None, b" \t\n\r\x0b\x0c")) for t in texts]
             quality = [max(0.01, a / b) if b else 0.01 for a, b in zip(letters, solid, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(quality, pa.float64())], names=["i", "source", "size", "quality"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(words, pa.int64()), pa.array(quality, pa.float64())], names=["i", "source", "x", "size", "quality"])
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, source string, size long, quality double")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = rows.withColumn("x", F.xxhash64("t"))
+    return rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, source string, x long, size long, quality double")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -84,10 +85,10 @@ def mix(
     most: int = 3,
     seed: int = 0,
 ) -> DataFrame:
-    """One row for each row of ``docs``: id, size, source_size, target, taken, copies.
+    """One row for each row of ``docs``: id, size, source_size, target, taken, copies, source, text_hash.
 
     ``copies`` is how often the mix has the whole document and ``taken`` its words times
-    that, at most ``most`` times its size. The document in which a source's budget ends
+    that, at most ``most`` times its size. ``text_hash`` is Spark's ``xxhash64`` of the text. The document in which a source's budget ends
     is taken if that comes nearer to the target.
 
     A null text has size 0; long texts are counted whole. A null source is a source, last
@@ -100,7 +101,7 @@ def mix(
     aims = cut(targets(sizes, weights, most))
     aims = aims.select(F.col("source").alias("aim"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
     aims = F.broadcast(aims) if aims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else aims
-    keyed = rows.join(aims, F.col("source").eqNullSafe(F.col("aim"))).select("i", "source", "size", "source_size", "target", "epochs", (-F.log("u") / F.col("quality")).alias("key"), "at")
+    keyed = rows.join(aims, F.col("source").eqNullSafe(F.col("aim"))).select("i", "source", "x", "size", "source_size", "target", "epochs", (-F.log("u") / F.col("quality")).alias("key"), "at")
     # Sampled splitters cut a large source into ranges of keys, and rows of one id as well; range k comes before k + 1.
     order = [F.col("key"), F.col("i").asc_nulls_last(), F.col("size"), F.col("at")]
     ranged = cut(keyed.repartitionByRange(F.col("source"), *order).withColumn("range", F.spark_partition_id()))
@@ -113,4 +114,4 @@ def mix(
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
     chosen = (F.col("epochs") < most) & (F.col("ahead") + F.col("upto") - F.col("size") / 2 <= budget)
     copies = F.col("epochs") + chosen.cast("long")
-    return placed.select(F.col("i").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return placed.select(F.col("i").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", F.col("x").alias("text_hash"))

@@ -67,7 +67,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).drop("source", "text_hash")
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
