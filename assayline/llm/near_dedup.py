@@ -34,8 +34,9 @@ from .word_hashes import mix, shingles, text_buffer, words
 
 #: Bands and rows of a band: a pair of similarity 0.8 shares no band with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: Members of one side of a comparison block, and the bytes of their texts, on average.
-BLOCK, BLOCK_BYTES = 256, 16 << 20
+#: Members of one side of a comparison block, on average: a 64th of the unit's, but within
+#: these bounds, so that a large unit is copied to fewer blocks; and the bytes of their texts.
+BLOCK, LARGE_BLOCK, BLOCK_BYTES = 128, 4096, 16 << 20
 #: Standard deviations below the threshold at which a signature rules a pair out.
 MARGIN = 5
 #: Rows (32 bytes each) that a broadcast may have.
@@ -280,7 +281,8 @@ def _between_trees(shared: DataFrame, labels: DataFrame, vertices: DataFrame, te
     held = named.join(few(several, BROADCAST_ROWS), "bucket").groupBy("unit", "u", "label").agg(F.count(F.lit(1)).alias("buckets")).drop("buckets")
     held = cut(held.join(vertices, "u").select("unit", "u", "label", "n", "sig", "b", (F.col("label") != F.col("unit")).alias("asked")))
     held = gathered(held, held.count(), 20_000)
-    count = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1))
+    each = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGE_BLOCK), F.floor(F.count(F.lit(1)) / 64)))
+    count = lambda rows, size: F.greatest(F.ceil(rows / each), F.ceil(size / BLOCK_BYTES), F.lit(1))
     blocks = held.groupBy("unit").agg(count(F.count_if("asked"), F.sum(F.when(F.col("asked"), F.col("b")))).alias("qs"), count(F.count(F.lit(1)), F.sum("b")).alias("ds"))
     places = F.expr(
         "concat(transform(sequence(0L, qs - 1), k -> named_struct('qb', k, 'db', pmod(xxhash64(u), ds), 'role', 1)), "
