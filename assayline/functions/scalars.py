@@ -28,12 +28,20 @@ def duration_text(seconds: int) -> str:
 
 
 def interval_seconds(interval: str) -> int:
-    """Seconds of ``1h30m``, ``5m`` or ``45s``; at least one."""
-    found = re.fullmatch(r"(?:(\d+)h)?(?:(\d+)m)?(?:(\d+)s)?", interval.strip().lower())
-    total = sum(int(n or 0) * u for n, u in zip(found.groups(), (3600, 60, 1), strict=True)) if found else 0
-    if total <= 0:
-        raise ValueError(f"Invalid interval {interval!r}: write 30s, 5m or 1h30m")
-    return total
+    """Seconds of whole numbers with units, the larger unit first: ``1h30m``, ``5m`` or ``45s``; at least one."""
+    total, number, below = 0, "", _UNITS["d"]
+    for c in interval.strip().lower():
+        if c.isdecimal():
+            number += c
+            continue
+        unit = _UNITS.get(c, 0)
+        if not number or not 0 < unit < below:
+            break
+        total, number, below = total + int(number) * unit, "", unit
+    else:
+        if total > 0 and not number:
+            return total
+    raise ValueError(f"Invalid interval {interval!r}: write 30s, 5m or 1h30m")
 
 
 def interval_text(seconds: int) -> str:

@@ -38,7 +38,6 @@ class Source:
     type: str = "spark"
     connection: str = ""
     table: str = ""
-    conn_id: str = ""
     options: dict[str, str] = field(default_factory=dict)
 
 
@@ -62,7 +61,6 @@ class Suite:
     source: Source = Source()
     checks: tuple[Check, ...] = ()
     tags: tuple[str, ...] = ()
-    schedule: str | None = None
 
 
 @dataclass(frozen=True)
@@ -78,7 +76,6 @@ class ColumnContract:
     name: str
     type: str = ""
     checks: tuple[str | dict, ...] = ()
-    description: str = ""
 
 
 @dataclass(frozen=True)

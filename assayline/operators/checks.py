@@ -41,7 +41,8 @@ class Verdict:
 
 @dataclass
 class Context:
-    """What checks know besides their table: other tables, the clock, earlier values."""
+    """What checks know besides their table's rows: its columns' types (``frame``), other
+    tables, the clock, earlier values."""
 
     spark: SparkSession
     table: str = ""
@@ -49,6 +50,7 @@ class Context:
     as_of: datetime | None = None
     resolve: Callable[[str], DataFrame] | None = None
     history: Callable[[str, str, int], list[float]] | None = None
+    frame: DataFrame | None = None
 
     def other(self, name: str) -> DataFrame:
         return self.resolve(name) if self.resolve else self.spark.table(name)
@@ -69,8 +71,13 @@ class Kind:
     own: Callable[[DataFrame, Check, Context], DataFrame] | None = None
     metadata: Callable[[DataFrame, Check], Values] | None = None
     failing: Callable[[DataFrame, Check, Context], DataFrame] | None = None
+    alone: Callable[[Check], bool] | None = None
     severity: Severity = Severity.CRITICAL
 
+    def shares(self, check: Check) -> bool:
+        """Whether a check's metrics join the aggregation of the others."""
+        return self.fused is not None and not (self.alone and self.alone(check))
+
 
 KINDS: dict[str, Kind] = {}
 
@@ -88,6 +95,13 @@ def register_plugin(kind: Kind) -> None:
     register(kind)
 
 
+def severity_of(check: Check) -> Severity:
+    """The check's own severity, or that of its kind."""
+    if check.severity:
+        return Severity(check.severity)
+    return KINDS[check.type].severity if check.type in KINDS else Severity.CRITICAL
+
+
 def column_of(check: Check) -> str:
     name = check.column or (check.columns[0] if check.columns else "")
     if not name:
@@ -189,11 +203,9 @@ def _accepted(check: Check) -> list[Any]:
     return list(values)
 
 
-def _not_accepted(df: DataFrame | None, check: Check) -> Column:
+def _not_accepted(df: DataFrame, check: Check) -> Column:
     """Set, and equal to no listed value as the column's type reads it; what it can't read matches nothing."""
     c, values = quoted(column_of(check)), _accepted(check)
-    if df is None:
-        return c.isNotNull() & ~F.coalesce(c.cast("string").isin([str(v) for v in values]), F.lit(False))
     kind = df.select(c).schema[0].dataType
     if kind.typeName() not in ("string", "varchar", "char", "boolean", "date", "timestamp", "timestamp_ntz", "byte", "short", "integer", "long", "float", "double", "decimal"):
         raise CheckError(f"accepted_values can't compare {kind.simpleString()}")
@@ -206,7 +218,7 @@ register(
     Kind(
         "accepted_values",
         lambda check, v, _: _outcome(v["bad"], f"{v['bad']} invalid values", f"only {_accepted(check)}", v["filled"]),
-        fused=lambda check, ctx: {"filled": F.count(quoted(column_of(check))), "bad": F.count_if(_not_accepted(getattr(ctx, "frame", None), check))},
+        fused=lambda check, ctx: {"filled": F.count(quoted(column_of(check))), "bad": F.count_if(_not_accepted(ctx.frame, check))},
         failing=lambda df, check, _: df.filter(_not_accepted(df, check)),
     )
 )
@@ -329,6 +341,17 @@ register(
 )
 
 
+#: Kinds that judge a row by itself: the condition under which it fails, null where it can't be said.
+ROW_TESTS: dict[str, Callable[[DataFrame, Check], Column]] = {
+    "not_null": lambda df, check: quoted(column_of(check)).isNull(),
+    "range": lambda df, check: _outside(check),
+    "accepted_values": _not_accepted,
+    "regex": lambda df, check: _unmatched(check),
+    "email_validation": lambda df, check: _unmatched(check),
+    "latency": lambda df, check: _lag(check) > seconds_of(str(check.params.get("max_latency", "1h"))),
+}
+
+
 # --- volume, reference, custom ------------------------------------------------------
 
 
@@ -385,7 +408,7 @@ register(Kind("custom_sql", _custom, own=_query))
 
 # --- history ------------------------------------------------------------------------
 
-#: What the anomaly check can watch; all but distinct_count join the fused aggregation.
+#: What the anomaly check can watch.
 WATCHED: dict[str, Callable[[str], Column]] = {
     "row_count": lambda c: rows().cast("double"),
     "null_count": lambda c: F.count_if(quoted(c).isNull()).cast("double"),
@@ -428,7 +451,17 @@ def _anomalous(check: Check, v: Values, ctx: Context) -> Verdict:
     return Verdict(Status.FAIL if found.is_anomaly else Status.PASS, f"{now} (score={found.score})", f"[{found.lower:.2f}, {found.upper:.2f}]", metrics=kept)
 
 
-register(Kind("anomaly", _anomalous, own=lambda df, check, _: df.agg(_watched(check).alias("value")), severity=Severity.WARNING))
+register(
+    Kind(
+        "anomaly",
+        _anomalous,
+        fused=lambda check, _: {"value": _watched(check)},
+        own=lambda df, check, _: df.agg(_watched(check).alias("value")),
+        # A distinct count in the shared job would expand every row.
+        alone=lambda check: check.params.get("metric") == "distinct_count",
+        severity=Severity.WARNING,
+    )
+)
 
 
 def _changed(check: Check, v: Values, ctx: Context) -> Verdict:

@@ -45,7 +45,8 @@ def _source(raw: Any, known: dict[str, Source], where: str) -> Source:
             raise ValueError(f"Unknown source reference '{raw}' in {where}. Available sources: {', '.join(known) or 'none defined'}")
         return known[raw]
     raw = dict(raw or {})
-    given = {k: raw.pop(k) for k in ("type", "connection", "table", "conn_id", "options") if k in raw}
+    given = {k: raw.pop(k) for k in ("type", "connection", "table", "options") if k in raw}
+    raw.pop("conn_id", None)  # for schedulers
     if raw:
         raise ValueError(f"Unknown keys in a source: {', '.join(raw)}")
     return Source(**given)
@@ -55,7 +56,7 @@ def parse_contract(raw: dict[str, Any]) -> Contract:
     schema = raw.get("schema") or raw.get("schema_def") or {}
     columns = []
     for c in schema.get("columns") or []:
-        columns.append(ColumnContract(c["name"], str(c.get("type", "")), tuple(c.get("checks") or ()), c.get("description", "")))
+        columns.append(ColumnContract(c["name"], str(c.get("type", "")), tuple(c.get("checks") or ())))
     source = raw.get("source", "")
     sla = {k: str(v) for k, v in (raw.get("sla") or {}).items()}
     action = raw.get("on_violation", "warn")
@@ -71,16 +72,17 @@ def from_dict(raw: dict[str, Any], name: str = "config") -> Config:
     """A configuration with its suites, contracts and alerts.
 
     Either ``source`` and ``checks`` stand at the top, making one suite called ``name``,
-    or ``suites`` lists them.
+    or ``suites`` lists them. Schedules, connection ids and descriptions are for other
+    tools, and passed over.
     """
     known = {k: _source(v, {}, f"source '{k}'") for k, v in (raw.get("sources") or {}).items()}
     suites = []
-    listed = [{"name": name, **{k: raw[k] for k in ("source", "checks", "tags", "schedule", "table") if k in raw}}] if "checks" in raw else raw.get("suites") or []
+    listed = [{"name": name, **{k: raw[k] for k in ("source", "checks", "tags", "table") if k in raw}}] if "checks" in raw else raw.get("suites") or []
     for s in listed:
         source = _source(s.get("source"), known, f"suite '{s.get('name', '?')}'")
         if "table" in s:
             source = replace(source, table=s["table"])
-        suites.append(Suite(s["name"], source, tuple(parse_check(c) for c in s.get("checks") or []), tuple(s.get("tags") or ()), s.get("schedule")))
+        suites.append(Suite(s["name"], source, tuple(parse_check(c) for c in s.get("checks") or []), tuple(s.get("tags") or ())))
     alerts = tuple(Alert(**a) for a in raw.get("alerts") or [])
     return Config(str(raw.get("version", "1.0")), known, tuple(suites), tuple(parse_contract(c) for c in raw.get("contracts") or []), alerts)
 

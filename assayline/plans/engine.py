@@ -9,11 +9,12 @@ from dataclasses import dataclass, replace
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import Check, CheckResult, Config, Severity, Source, Status, Suite, SuiteResult, utc_now
-from ..operators.checks import KINDS, Context
+from ..model import Check, CheckResult, Config, Source, Status, Suite, SuiteResult, utc_now
+from ..operators.checks import KINDS, Context, severity_of
 from ..sources.resolve import resolve
 from .planner import Plan, expanded, plan
 
@@ -21,10 +22,9 @@ from .planner import Plan, expanded, plan
 SAMPLE = 5
 
 
-def _severity(check: Check) -> Severity:
-    if check.severity:
-        return Severity(check.severity)
-    return KINDS[check.type].severity if check.type in KINDS else Severity.CRITICAL
+def quoted_name(name: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def _reason(error: BaseException) -> str:
@@ -32,7 +32,7 @@ def _reason(error: BaseException) -> str:
 
 
 def _error(check: Check, reason: str, table: str) -> CheckResult:
-    return CheckResult(check, Status.ERROR, _severity(check), f"error: {reason}", table=table)
+    return CheckResult(check, Status.ERROR, severity_of(check), f"error: {reason}", table=table)
 
 
 def _values(df: DataFrame, check: Check, context: Context) -> dict[str, Any]:
@@ -46,20 +46,22 @@ def _values(df: DataFrame, check: Check, context: Context) -> dict[str, Any]:
 
 
 def _sample(df: DataFrame, check: Check, context: Context) -> tuple[str, ...]:
-    """The first failing rows as JSON, in an order that the rows alone decide."""
+    """The first failing rows as JSON, in an order that the rows alone decide: by their
+    columns, as far as these have an order. Only the rows shown are written as JSON."""
     kind = KINDS[check.type]
     if kind.failing is None:
         return ()
     bad = kind.failing(df, check, context)
-    text = F.to_json(F.struct(*[bad[c] for c in bad.columns])).alias("row")
-    return tuple(r["row"] for r in bad.select(text).orderBy("row").limit(SAMPLE).collect())
+    keys = [quoted_name(f.name) for f in bad.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = bad.orderBy(*keys).limit(SAMPLE) if keys else bad.limit(SAMPLE)
+    return tuple(r["row"] for r in first.select(F.to_json(F.struct(*[quoted_name(c) for c in first.columns])).alias("row")).collect())
 
 
 def _judge(df: DataFrame, check: Check, values: dict[str, Any], context: Context, samples: bool, began: float) -> CheckResult:
     verdict = KINDS[check.type].verdict(check, values, context)
     sample = _sample(df, check, context) if samples and verdict.status is Status.FAIL else ()
     return CheckResult(
-        check, verdict.status, _severity(check), verdict.observed, verdict.expected, verdict.row_count, verdict.failing_rows,
+        check, verdict.status, severity_of(check), verdict.observed, verdict.expected, verdict.row_count, verdict.failing_rows,
         sample, verdict.metrics, context.table, round(1000 * (time.time() - began)),
     ).downgraded()
 

@@ -49,23 +49,42 @@ def kind_of(check: Check) -> Kind:
     return KINDS[check.type]
 
 
-def _resolved(df: DataFrame, columns: dict[str, Column]) -> None:
-    """Raises what the analyser says about a check's metrics, without running a job."""
-    df.agg(*[c.alias(n) for n, c in columns.items()]).schema  # noqa: B018
+def _unresolved(df: DataFrame, planned: dict[int, dict[str, Column]]) -> dict[int, str]:
+    """What the analyser says against any check's metrics, without running a job.
+
+    All are analysed at once; only if that fails is each looked at by itself.
+    """
+
+    def analysed(metrics: list[dict[str, Column]]) -> None:
+        df.agg(*[c.alias(f"{k}_{n}") for k, m in enumerate(metrics) for n, c in m.items()]).schema  # noqa: B018
+
+    out: dict[int, str] = {}
+    if planned:
+        try:
+            analysed(list(planned.values()))
+        except Exception:
+            for place, metrics in planned.items():
+                try:
+                    analysed([metrics])
+                except Exception as e:
+                    out[place] = str(e).split("\n")[0]
+    return out
 
 
 def plan(df: DataFrame, checks: list[Check], context: Context, fuse: bool = True) -> Plan:
-    out, seen = Plan(), {}
+    out, seen, planned = Plan(), {}, {}
     for place, check in enumerate(checks):
         try:
             kind = kind_of(check)
-            if kind.fused is None:
+            if kind.shares(check):
+                planned[place] = kind.fused(check, context)
+            else:
                 out.alone.append(place)
-                continue
-            metrics = kind.fused(check, context)
-            _resolved(df, metrics)
         except Exception as e:  # the analyser's errors come in many classes
             out.errors[place] = str(e).split("\n")[0]
+    out.errors |= _unresolved(df, planned)
+    for place, metrics in planned.items():
+        if place in out.errors:
             continue
         names = {}
         for name, column in metrics.items():

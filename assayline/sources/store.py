@@ -2,7 +2,8 @@
 
 ``runs`` and ``check_results`` are partitioned by suite, and so is ``metrics``, so that a
 check's history is read from its own suite's files. Rows carry the run's start to the
-microsecond and its place within the run.
+microsecond and its place within the run. Every save adds a small file a table;
+``compact`` makes one of a suite's.
 """
 
 from __future__ import annotations
@@ -37,17 +38,35 @@ class Store:
             self.spark.createDataFrame(rows, TABLES[name]).coalesce(1).write.mode("append").partitionBy("suite_name").parquet(f"{self.path}/{name}")
 
     def save(self, result: SuiteResult) -> str:
-        run = uuid.uuid4().hex
-        s = result.summary()
-        self._append("check_results", [(run, result.suite, k, *[r.row()[n] for n in RESULT_SCHEMA.fieldNames()]) for k, r in enumerate(result.results)])
-        metrics = []
-        for r in result.results:
-            key = history_key(r.check)[0] if r.check.type in ("anomaly", "row_count_change") else r.check.name
-            metrics += [(run, result.suite, key, name, float(value), result.started_at) for name, value in r.metrics.items() if value is not None]
+        return self.save_all([result])[0]
+
+    def save_all(self, results: list[SuiteResult]) -> list[str]:
+        """Several runs in one file a table and suite; their ids, in order."""
+        ids, details, metrics, runs = [uuid.uuid4().hex for _ in results], [], [], []
+        for run, result in zip(ids, results, strict=True):
+            s = result.summary()
+            details += [(run, result.suite, k, *[r.row()[n] for n in RESULT_SCHEMA.fieldNames()]) for k, r in enumerate(result.results)]
+            for r in result.results:
+                key = history_key(r.check)[0] if r.check.type in ("anomaly", "row_count_change") else r.check.name
+                metrics += [(run, result.suite, key, name, float(value), result.started_at) for name, value in r.metrics.items() if value is not None]
+            runs.append((run, result.suite, s["status"], s["total"], s["passed"], s["failed"], s["warned"], s["errored"], s["skipped"], float(s["quality_score"]), s["duration_ms"], result.started_at))
+        self._append("check_results", details)
         self._append("metrics", metrics)
         # The run comes last: what it refers to is there when it is seen.
-        self._append("runs", [(run, result.suite, s["status"], s["total"], s["passed"], s["failed"], s["warned"], s["errored"], s["skipped"], float(s["quality_score"]), s["duration_ms"], result.started_at)])
-        return run
+        self._append("runs", runs)
+        return ids
+
+    def compact(self) -> None:
+        """Rewrites each table with one file a suite. No run may be saved meanwhile: the new
+        files stand beside the old ones until all are written, and then take their place."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in TABLES:
+            old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in (name, f"{name}-compacted"))
+            files = old.getFileSystem(conf)
+            if files.exists(old):
+                self.table(name).repartition("suite_name").write.mode("overwrite").partitionBy("suite_name").parquet(f"{self.path}/{name}-compacted")
+                files.delete(old, True)
+                files.rename(new, old)
 
     def history(self, suite: str, check: str, metric: str, limit: int = 30) -> list[float]:
         """The latest values of a check's metric, newest first."""

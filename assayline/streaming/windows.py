@@ -8,6 +8,7 @@ distinct values, joins or history of the whole table are rejected when they are
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalars import seconds_between
 from ..model import Check, CheckResult
 from ..operators import anomaly
-from ..operators.checks import KINDS, CheckError, Context, quoted
+from ..operators.checks import KINDS, ROW_TESTS, CheckError, Context, quoted, severity_of
 from ..plans.planner import expanded, kind_of
 
 #: Checks that a window can't answer.
@@ -52,11 +54,11 @@ def windowed(df: DataFrame, window: Column, metrics: dict[str, Column], keys: li
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, *metrics)
 
 
-def check_metrics(checks: list[Check], context: Context) -> dict[str, Column]:
-    """The fused metrics of checks, named by check and metric."""
-    out = {}
+def check_metrics(df: DataFrame, checks: list[Check], context: Context) -> dict[str, Column]:
+    """The fused metrics of checks of ``df``, whose types they go by, named by check and metric."""
+    out, context = {}, replace(context, frame=df)
     for place, check in enumerate(expanded(tuple(checks))):
-        if check.type in BATCH_ONLY or kind_of(check).fused is None:
+        if check.type in BATCH_ONLY or not kind_of(check).shares(check):
             raise CheckError(f"{check.type} needs the whole table and can't be run on windows")
         out |= {f"c{place}_{n}": c for n, c in KINDS[check.type].fused(check, context).items()}
     return out
@@ -69,7 +71,7 @@ def verdicts(row: dict[str, Any], checks: list[Check], context: Context) -> list
         kind = KINDS[check.type]
         values = {n.removeprefix(f"c{place}_"): v for n, v in row.items() if n.startswith(f"c{place}_")}
         v = kind.verdict(check, values, context)
-        out.append(CheckResult(check, v.status, kind.severity, v.observed, v.expected, v.row_count, v.failing_rows, metrics=v.metrics).downgraded())
+        out.append(CheckResult(check, v.status, severity_of(check), v.observed, v.expected, v.row_count, v.failing_rows, metrics=v.metrics).downgraded())
     return out
 
 
@@ -88,7 +90,7 @@ def watch(
     Only a window's metrics come to the driver, some ten numbers for each check.
     """
     context = Context(stream.sparkSession)
-    metrics = windowed(stream, window, check_metrics(checks, context), time=time, watermark=watermark)
+    metrics = windowed(stream, window, check_metrics(stream, checks, context), time=time, watermark=watermark)
 
     def batch(df: DataFrame, _: int) -> None:
         for row in df.orderBy("window_start").toLocalIterator():
@@ -110,3 +112,26 @@ def messages(df: DataFrame, column: str, schema: T.StructType | str) -> DataFram
     """JSON messages against a schema: the parsed struct and whether it could be parsed."""
     parsed = F.from_json(quoted(column), schema, {"mode": "PERMISSIVE"})
     return df.withColumn("parsed", parsed).withColumn("valid", F.try_parse_json(quoted(column)).isNotNull() & F.col("parsed").isNotNull())
+
+
+def judged(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """Each row, or message, with the checks that it fails by itself (``failed``, their names
+    in the order of the checks) and whether it fails none (``passes``).
+
+    Checks that judge a row alone are not_null, range, accepted_values, regex,
+    email_validation and latency; others are rejected. A null fails not_null only.
+    """
+    tests = []
+    for check in expanded(tuple(checks)):
+        if check.type not in ROW_TESTS:
+            raise CheckError(f"{check.type} doesn't judge single rows")
+        tests.append(F.when(F.coalesce(ROW_TESTS[check.type](df, check), F.lit(False)), F.lit(check.name)))
+    failed = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    return df.withColumn("failed", failed).withColumn("passes", F.size("failed") == 0)
+
+
+def processing_lag(df: DataFrame, time: str, now: Column | None = None) -> DataFrame:
+    """``lag_seconds``: from a row's event time to the time it is processed, the batch's own
+    time in a stream, unless ``now`` is given."""
+    moment = now if now is not None else F.current_timestamp()
+    return df.withColumn("lag_seconds", seconds_between(quoted(time).cast("timestamp_ntz"), moment.cast("timestamp_ntz")))

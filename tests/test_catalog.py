@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from assayline import catalog
+from assayline import catalog, catalog_verdicts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

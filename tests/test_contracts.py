@@ -1,9 +1,10 @@
+import statistics
 from datetime import datetime
 
 import pytest
 
 from assayline.model import ColumnContract, Contract, Sla
-from assayline.operators.profile import profile, suggest
+from assayline.operators.profile import exact_medians, profile, suggest
 from assayline.plans import config as configs
 from assayline.plans.contracts import diff, quarantine, validate
 from assayline.plans.engine import check_frame
@@ -58,6 +59,12 @@ def test_diff():
     assert ("schema.columns.id.type", "changed", True) in found and ("schema.columns.id.checks", "removed", False) in found
     assert ("sla.freshness", "added", True) in found
     assert diff(old, old) == []
+    # A check in another notation, or another place of the list, is the same check.
+    one = contract(columns=(ColumnContract("id", "int", ("not_null", {"range": {"min": 0, "max": 5}})),))
+    two = contract(columns=(ColumnContract("id", "int", ({"range": {"max": 5, "min": 0}}, {"not_null": {}})),))
+    assert diff(one, two) == []
+    dirty = contract(columns=(ColumnContract("id", "int", ("not_null", {"range": {"min": 1, "max": 5}})),))
+    assert [(c.field, c.change, c.breaking) for c in diff(one, dirty)] == [("schema.columns.id.checks", "removed", False), ("schema.columns.id.checks", "added", True)]
 
 
 def test_profile(spark):
@@ -72,5 +79,9 @@ def test_profile(spark):
     assert {"unique": "id"} in checks and {"row_count": {"min": 5}} in checks
     assert check_frame(df, checks).quality_score == 100.0
     assert len(configs.from_dict(__import__("yaml").safe_load(configs.dump(checks, "spark", "t"))).suites[0].checks) == len(checks)
+    for values in ([0.0] * 50 + [1.0] * 50, [0.0] * 50 + [0.5] + [1.0] * 50, [0.0] * 49 + [0.25, 0.5] + [1.0] * 49, [float(k * 7919 % 1000) for k in range(999)], [3.0], [None]):
+        frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        there = [v for v in values if v is not None]
+        assert exact_medians(frame, ["v"], few=10)["v"] == (statistics.median(there) if there else None)
     assert 0 < profile(spark.range(1000), sample_percent=50).row_count < 1000
     assert profile(df.limit(0)).columns[0].distinct_pct == 0.0

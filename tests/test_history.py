@@ -6,7 +6,9 @@ from hypothesis import strategies as st
 
 from assayline.model import Check, Config, Source, Status, Suite
 from assayline.operators import anomaly
+from assayline.operators.checks import WATCHED, Context
 from assayline.plans.engine import Engine
+from assayline.plans.planner import plan
 from assayline.sources.store import Store
 
 PAST = [10.0, 12.0, 11.0, 9.0, 10.5, 11.5]
@@ -52,4 +54,14 @@ def test_history_loop(spark, tmp_path):
     run = engine.store.runs("s").first()
     assert run.failed == 1 and engine.store.details(run.run_id).count() == 3
     assert engine.store.series("s", "not_null:v", "null_count").count() == 7
+    engine.store.compact()
+    assert engine.store.runs("s").count() == 7 and engine.store.series("s", "not_null:v", "null_count").count() == 7
+    assert len(list((tmp_path / "store" / "metrics").rglob("*.parquet"))) == 1
     assert Store(spark, str(tmp_path / "empty")).history("s", "x", "y") == []
+
+
+def test_anomalies_share_one_job(spark):
+    """All watched metrics but distinct counts are columns of the one aggregation."""
+    checks = [Check("anomaly", "id", params={"metric": m}) for m in WATCHED]
+    made = plan(spark.range(5), checks, Context(spark))
+    assert len(made.jobs()) == 1 and made.alone == [list(WATCHED).index("distinct_count")] and not made.errors

@@ -3,6 +3,7 @@
 import http.server
 import json
 import threading
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -169,7 +170,60 @@ checks for orders:
     config = configs.from_dict({"source": {"table": "t"}, "checks": [{"not_null": ["a", "b"]}, {"range": {"column": "a", "min": 1, "max": 2}}, "freshness: made"]})
     made = convert.to_dbt(config)
     columns = yaml.safe_load(made)["models"][0]["columns"]
-    assert columns[0] == {"name": "a", "tests": ["not_null", {"dbt_utils.expression_is_true": {"expression": ">= 1 and <= 2"}}]} and "# freshness on 'made'" in made
+    assert columns[0] == {"name": "a", "tests": ["not_null", {"dbt_utils.accepted_range": {"min_value": 1, "max_value": 2}}]} and "freshness:made" in made
+
+
+def test_soda_expressions():
+    """Comparisons, bounds and options; several tables make several suites."""
+    soda = """
+checks for a:
+  - row_count between 5 and 10
+  - row_count < 3
+  - row_count = 4
+  - duplicate_count(x, y) = 0
+  - missing_count(x) < 1
+  - missing_count(x) < 5
+  - min(x) >= 0.5
+  - max(x) > 3
+  - invalid_percent(x) < 2 %
+  - invalid_count(mail) = 0:
+      valid format: email
+  - invalid_count(code) = 0:
+      valid min: 1
+checks for b:
+  - freshness(t) < 1 d
+  - schema:
+      fail:
+        when forbidden column present: [z]
+"""
+    out = convert.from_soda(soda)
+    first, second = yaml.safe_load(out)["suites"]
+    assert first["checks"] == [
+        {"row_count": {"min": 5, "max": 10}}, {"row_count": {"max": 2}}, {"row_count": {"min": 4, "max": 4}}, {"unique_combination": ["x", "y"]}, {"not_null": "x"},
+        {"range": {"column": "x", "min": 0.5}}, {"email_validation": "mail"}, {"range": {"column": "code", "min": 1}},
+    ]
+    assert second == {"name": "b", "source": {"type": "spark", "table": "b"}, "checks": [{"freshness": {"column": "t", "max_age": "1d"}}]}
+    assert [line for line in out.split("\n") if line.startswith("# ")] == ["# Not translated:", "# a: missing_count(x) < 5", "# a: max(x) > 3", "# a: invalid_percent(x) < 2 %", "# b: schema"]
+    assert [s.name for s in configs.from_dict(yaml.safe_load(out)).suites] == ["a", "b"]
+
+
+def test_window_verdicts_equal_batch_verdicts(spark):
+    """Every check that can run on windows, over four types and three severities."""
+    rows = [(datetime(2024, 1, 1, k % 24), float(k % 3), k % 2 == 0, "ab"[k % 2], datetime(2024, 1, 1 + k % 2).date(), datetime(2024, 1, 1, 1)) for k in range(40)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, d double, b boolean, s string, day date, seen timestamp_ntz")
+    listed = lambda c, v: Check("accepted_values", c, params={"values": v})
+    base = [
+        Check("not_null", "s"), Check("completeness", "s"), listed("d", [0, 1, "2.0"]), listed("d", [1]), listed("b", [True, "false"]), listed("b", [True]), listed("s", ["a", "b"]), listed("s", ["a"]),
+        listed("day", ["2024-01-01", "2024-01-02"]), listed("day", ["2024-01-01"]), Check("range", "d", params={"max": 1}), Check("regex", "s", params={"pattern": "a"}), Check("email_validation", "s"),
+        Check("latency", params={"source_column": "seen", "target_column": "ts", "max_latency": "1h"}), Check("row_count", params={"min": 41}),
+    ]
+    assert {c.type for c in base} == {k for k, v in KINDS.items() if v.fused and k not in windows.BATCH_ONLY and k in configs.PARAMETERS}
+    checks = [replace(c, severity=s) for c in base for s in (None, "info", "critical")]
+    batch = check_frame(df, checks, samples=False).results
+    (row,) = windows.windowed(df, windows.tumbling("ts", "1 day"), windows.check_metrics(df, checks, Context(spark))).collect()
+    window = windows.verdicts(row.asDict(), checks, Context(spark))
+    assert [(r.check.name, r.status, r.severity, r.observed, r.failing_rows) for r in window] == [(r.check.name, r.status, r.severity, r.observed, r.failing_rows) for r in batch]
+    assert {str(r.status) for r in batch} == {"pass", "fail", "warn"}
 
 
 def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
@@ -183,13 +237,13 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     query = windows.watch(stream, windows.tumbling("ts", "1 hour"), checks, "ts", "10 minutes", lambda row, results: seen.update({row.window_start: [(r.status, r.observed) for r in results]}), str(tmp_path / "cp"))
     query.awaitTermination(120)
     context = Context(spark)
-    batch = windows.windowed(df, windows.tumbling("ts", "1 hour"), windows.check_metrics(checks, context)).collect()
+    batch = windows.windowed(df, windows.tumbling("ts", "1 hour"), windows.check_metrics(df, checks, context)).collect()
     want = {r.window_start: [(x.status, x.observed) for x in windows.verdicts(r.asDict(), checks, context)] for r in batch}
     assert seen and seen.items() <= want.items() and len(want) - len(seen) <= 1
     assert seen[start][0] == (Status.FAIL, "3 nulls")
     for kind in windows.BATCH_ONLY:
         with pytest.raises(CheckError):
-            windows.check_metrics([Check(kind, "v")], context)
+            windows.check_metrics(df, [Check(kind, "v")], context)
     sent = spark.createDataFrame([('{"a": 1}',), ("nonsense",)], "m string")
     assert [r.valid for r in windows.messages(sent, "m", "a int").collect()] == [True, False]
 
