@@ -78,9 +78,9 @@ class Fingerprints:
         self.low = low_bits(densify(one_permutation(hashes, at)))
         self.full = np.diff(at) > 0
 
-    def hexes(self) -> list[str]:
-        """Packed hex of each text; empty for a text without words."""
-        return [x.hex() if full else "" for x, full in zip(packed(self.low), self.full.tolist(), strict=True)]
+    def packed(self) -> list[bytes]:
+        """Each text's packed bits; none for a text without words."""
+        return [x if full else b"" for x, full in zip(packed(self.low), self.full.tolist(), strict=True)]
 
 
 def compared(a_low: np.ndarray, a_full: np.ndarray, b_low: np.ndarray, b_full: np.ndarray) -> np.ndarray:
@@ -106,14 +106,14 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(Fingerprints(texts, words_per_shingle).hexes(), pa.string())], names=["i", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.hex() for x in Fingerprints(texts, words_per_shingle).packed()], pa.string())], names=["i", "f"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, f string").select(F.col("i").alias(id_col), F.col("f").alias("fingerprint"))
 
 
-_RESULT = "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+_RESULT = "i long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "int": pa.int32()}
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -128,7 +128,7 @@ def _compared(ids: list, texts: list[str], size: int) -> list[list]:
     new = [edited(a, b) for a, b in zip(own, texts[1:], strict=True)]
     one, two = Fingerprints(texts, size), Fingerprints(new, size)
     return [
-        ids, list(map(len, own)), [hashlib.sha256(t.encode()).hexdigest() for t in new], one.hexes()[:-1], two.hexes(),
+        ids, list(map(len, own)), [hashlib.sha256(t.encode()).digest() for t in new], one.packed()[:-1], two.packed(),
         compared(one.low[:-1], one.full[:-1], two.low, two.full).tolist(),
         compared(one.low[:-1], one.full[:-1], one.low[1:], one.full[1:]).tolist(),
     ]
@@ -188,9 +188,10 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = found.filter("range IS NOT NULL")
     there = sorted(r["range"] for r in ends.select("range").collect())
     inner = found.filter("range IS NULL").select(*_schema(_RESULT).names)
+    written = lambda df: df.select(*[F.lower(F.hex(c)).alias(c) if k == "binary" else F.col(c).alias(id_col if c == "i" else c) for c, k in df.dtypes])
     if not there:
-        return inner.withColumnRenamed("i", id_col)
+        return written(inner)
     behind = spark.createDataFrame(list(zip(there, there[1:] + there[:1], strict=True)), "range int, behind int")
     firsts = ends.select(F.col("range").alias("behind"), F.col("first").alias("after"))
     meeting = ends.select("range", "i", "last").join(behind, "range").join(firsts, "behind").select("i", "last", "after")
-    return inner.unionByName(meeting.mapInArrow(across, _RESULT)).withColumnRenamed("i", id_col)
+    return written(inner.unionByName(meeting.mapInArrow(across, _RESULT)))
