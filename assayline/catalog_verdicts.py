@@ -323,14 +323,15 @@ def store_history(spark, sf_dir):
 
 
 def _score(z: str, limit: float) -> str:
-    return f"round(least({z} / {limit}, 1.0), 4)"
+    """SQL for a detector's score, rounded as Python rounds: by the number's exact value."""
+    return f"format('{{:.4f}}', least({z} / {limit}, 1.0))::DOUBLE"
 
 
 @query(
     _SERIES + _SPREADS.rstrip(", ")
     + " ".join(
         [
-            f"{'' if k == 0 else 'UNION ALL'} SELECT metric, '{m}' AS method, '{s}' AS sensitivity, {t} AS is_anomaly, {score} AS score, round({low}, 4) AS lower, round({high}, 4) AS upper FROM now JOIN sides USING (metric) JOIN off USING (metric) JOIN fences USING (metric)"
+            f"{'' if k == 0 else 'UNION ALL'} SELECT metric, '{m}' AS method, '{s}' AS sensitivity, {t} AS is_anomaly, {score} AS score, format('{{:.4f}}', {low})::DOUBLE AS lower, format('{{:.4f}}', {high})::DOUBLE AS upper FROM now JOIN sides USING (metric) JOIN off USING (metric) JOIN fences USING (metric)"
             for k, (m, s, t, score, low, high) in enumerate(
                 row
                 for s, limit in (("low", 4.0), ("medium", 3.0), ("high", 2.0))
