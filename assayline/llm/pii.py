@@ -43,10 +43,10 @@ DISCLOSES, REMOVED = 0.5, 0.9
 #: Part of the entity's own information that a span's word carries at least. A frequent
 #: entity has few bits, and so needs few; one that is in every document has none to disclose.
 OF_ENTITY = 0.5
-#: Terms that one broadcast holds; more are taken in several passes, or counted by a shuffle.
+#: Terms that a broadcast may have; more are joined by a shuffle.
 TERMS_AT_ONCE = 100_000
-#: Rows of ids that a broadcast may have; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of ids, and of documents with their terms, that a broadcast may have; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_DOCS = 200_000, 20_000
 
 _SPAN = "struct<kind:string,start:bigint,end:bigint,value:string>"
 
@@ -170,13 +170,6 @@ def _vocabulary(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def _passes(terms: DataFrame) -> list[DataFrame]:
-    """``terms`` in blocks that are small enough to broadcast, by the word's hash."""
-    n = terms.count()
-    blocks = -(-n // TERMS_AT_ONCE)
-    return [terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k) if blocks > 1 else terms for k in range(blocks)]
-
-
 def _enough(together: Column, of: Column) -> Column:
     return together - DISCOUNT >= EVIDENCE * of
 
@@ -251,21 +244,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     based = cut(texts.select("i", "h", *[c.alias(k) for k, c in kinds.items()]).select("i", "h", F.concat(*KINDS).alias("spans")))
     terms = cut(disclosing_terms(based, texts))
 
-    hits = None
-    for block in _passes(terms):
-        words = texts.select("i", "text", "h", F.explode(_vocabulary(F.col("text"))).alias("word")).join(F.broadcast(block), F.lower("word") == F.col("term"))
-        spans = _matches("term", F.col("text"), F.concat(F.lit(r"(?<!\p{L})"), F.col("word"), F.lit(r"(?!\p{L})")))
-        here = words.select("i", "h", "score", F.explode(spans).alias("s"))
-        hits = here if hits is None else hits.unionByName(here)
+    # One pass over all words, whatever the number of terms; then one over the texts that have any.
+    words = texts.select("i", "h", F.explode(_vocabulary(F.col("text"))).alias("word"))
+    named = words.join(few(terms, TERMS_AT_ONCE), F.lower("word") == F.col("term")).groupBy("i", "h").agg(F.collect_set(F.struct("word", "score")).alias("named"))
+    right = cut(named).select(F.col("i").alias("i2"), F.col("h").alias("h2"), "named")
+    own = F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))
+    listed = F.array_join(F.transform("named", lambda n: n["word"]), "|")
+    spans = _matches("term", F.col("text"), F.concat(F.lit(r"(?<!\p{L})(?:"), listed, F.lit(r")(?!\p{L})")))
+    scores = F.map_from_entries("named")
+    scored = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.element_at(scores, s["value"]).alias("score")))
+    by_doc = texts.join(few(right, BROADCAST_DOCS), own).select("i", "h", scored.alias("terms")).dropDuplicates(["i", "h"])
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("double").alias("score")))
     based = based.select("i", "h", _ordered(base).alias("base"))
     out = [F.col("i").alias(id_col), F.col("h").alias("text_hash"), "base"]
-    if hits is None:
-        return based.select(*out, F.col("base").alias("spans"))
-    by_doc = hits.groupBy("i", "h").agg(F.collect_set(F.struct("s.kind", "s.start", "s.end", "s.value", "score")).alias("terms"))
     right = by_doc.select(F.col("i").alias("i2"), F.col("h").alias("h2"), "terms")
     free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return based.join(right, F.col("i").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left").select(
+    return based.join(right, own, "left").select(
         *out, F.when(F.col("terms").isNull(), F.col("base")).otherwise(_ordered(F.concat("base", free))).alias("spans")
     )
 
