@@ -4,6 +4,7 @@ reports and notations, each beside its SQL. Importing this module adds them to `
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import json
@@ -18,11 +19,12 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cli
 from .catalog import _ADDRESS, _BAD_STATUS, _NULLED, _ORPHANED, AS_OF, SUITE, orders, query, table
 from .functions.scalars import TYPE_NAMES, duration_text, fraction_of, interval_seconds, interval_text, seconds_of, type_category
 from .model import Alert, Check, CheckResult, ColumnContract, Config, Contract, Sla, Source, Status, Suite, SuiteResult
 from .operators import anomaly, profile
-from .operators.checks import KINDS, Context, history_key, register
+from .operators.checks import _BUILT_IN, KINDS, Context, history_key, register, register_plugin
 from .orchestrate import QualityError, checked
 from .plans import config as configs
 from .plans import contracts
@@ -727,6 +729,118 @@ def plugin_check(spark, sf_dir):
     return verdicts(table(spark, sf_dir, "nation"), Check("even_rows")).select("name", "status", "observed")
 
 
+_RUN_SQL = (
+    "SELECT * FROM (SELECT 'first' AS suite, unnest(['not_null:c_custkey', 'unique:c_custkey', 'unique:c_name', 'completeness:c_name']) AS name, 'pass' AS status) UNION ALL "
+    "SELECT 'first', 'range:c_acctbal', CASE WHEN min(c_acctbal) < 0 THEN 'warn' ELSE 'pass' END FROM customer"
+)
+
+
+@query(_RUN_SQL + " UNION ALL SELECT 'exit code', 'run', '0' UNION ALL SELECT 'exit code', 'run of all', CASE WHEN count(*) > 3 THEN '1' ELSE '0' END FROM region UNION ALL SELECT 'exit code', 'validate', '0' UNION ALL SELECT 'history', 'first', 'pass'")
+def cli_run(spark, sf_dir):
+    """The command line: a run as JSON, its exit codes, and what the store then shows."""
+    folder = tempfile.mkdtemp(prefix="assayline-")
+    path, store = f"{folder}/checks.yaml", scratch(spark)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(_YAML.replace("PLACE", sf_dir))
+
+    def run(*args: str) -> tuple[int, str]:
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            code = cli.main([*args], spark)
+        return code, out.getvalue()
+
+    code, text = run("run", "-c", path, "--suite", "first", "--format", "json", "--store", store, "--no-alerts")
+    rows = [(s["suite"], c["check_name"], c["status"]) for s in json.loads(text) for c in s["checks"]]
+    rows += [("exit code", "run", str(code)), ("exit code", "run of all", str(run("run", "-c", path, "--no-alerts", "--no-optimize")[0])), ("exit code", "validate", str(run("validate", "-c", path)[0]))]
+    rows += [("history", r["suite_name"], r["status"]) for r in Store(spark, store).runs().collect()]
+    return spark.createDataFrame(rows, "suite string, name string, status string")
+
+
+_SAVED = (Check("not_null", "cust"), Check("completeness", "cust"), Check("row_count"), Check("row_count_change"))
+
+
+@query(
+    _rows(
+        "'not_null:cust' AS check_name, 'null_count' AS metric, nulls::DOUBLE AS value", "'not_null:cust', 'fail_rate', nulls / n::DOUBLE", "'completeness:cust', 'completeness_pct', 100 * (n - nulls) / n::DOUBLE", "'row_count', 'row_count', n", "'row_count_change', 'row_count', n",
+        over=f"SELECT count(*) AS n, count(*) FILTER ({_NULLED} IS NULL) AS nulls FROM orders",
+    )
+)
+def store_metrics(spark, sf_dir):
+    """The metrics that saving a run keeps."""
+    store = Store(spark, scratch(spark))
+    Engine(spark, store=store).run_suite(Suite("orders", Source(table="orders"), _SAVED), orders(spark, sf_dir), samples=False)
+    return store.table("metrics").select("check_name", F.col("metric_name").alias("metric"), "value")
+
+
+@query(
+    _rows(
+        "1 AS place, 'orders' AS suite_name, 'fail' AS status, 8 AS total, 8 - (CASE WHEN nulls > 0 THEN 1 ELSE 0 END) - (CASE WHEN n - nulls < 0.95 * n THEN 1 ELSE 0 END) - (CASE WHEN bad > 0 THEN 1 ELSE 0 END) AS passed, "
+        "(CASE WHEN nulls > 0 THEN 1 ELSE 0 END) + (CASE WHEN n - nulls < 0.95 * n THEN 1 ELSE 0 END) AS failed, (CASE WHEN bad > 0 THEN 1 ELSE 0 END) AS warned",
+        "2, 'orders', 'pass', 1, 1, 0, 0",
+        over=f"SELECT count(*) AS n, count(*) FILTER ({_NULLED} IS NULL) AS nulls, count(*) FILTER ({_BAD_STATUS} NOT IN ('F', 'O', 'P')) AS bad FROM orders",
+    )
+)
+def store_runs(spark, sf_dir):
+    """The runs of a store, latest first, and no more than were asked for."""
+    engine = Engine(spark, store=Store(spark, scratch(spark)), as_of=AS_OF)
+    for suite in (replace(SUITE, name="older"), replace(SUITE, checks=SUITE.checks[1:2]), SUITE):
+        engine.run_suite(suite, orders(spark, sf_dir), samples=False)
+    found = engine.store.runs("orders", 2).collect()
+    return spark.createDataFrame([(k + 1, r["suite_name"], r["status"], r["total"], r["passed"], r["failed"], r["warned"]) for k, r in enumerate(found)], "place int, suite_name string, status string, total int, passed int, failed int, warned int")
+
+
+@query(constants("name", [(n,) for n in ("not_null", "completeness", "unique", "unique_combination", "accepted_values", "range", "regex", "email_validation", "type", "freshness", "latency", "row_count", "referential_integrity", "custom_sql", "anomaly", "row_count_change")]))
+def check_kinds(spark, sf_dir):
+    """The kinds of checks that are built in; a plugin can't take the place of any."""
+    out = []
+    for name in _BUILT_IN:
+        try:
+            register_plugin(replace(KINDS["row_count"], name=name))
+        except ValueError:
+            out.append((name,))
+    return spark.createDataFrame(out, "name string")
+
+
+@query(
+    _rows(
+        "'not_null:cust' AS name, 'cust' AS on_column, nulls || ' nulls' AS observed, 3 AS total, 1 AS passed, 1 AS failed, 1 AS errored", "'nope:x', 'x', '', 3, 1, 1, 1",
+        over=f"SELECT count(*) FILTER ({_NULLED} IS NULL) AS nulls FROM orders",
+    )
+)
+def alert_payload(spark, sf_dir):
+    """What a webhook is sent about a run: its counts and the checks that failed."""
+    sent = outputs.payload(check_frame(orders(spark, sf_dir), [Check("not_null", "cust"), Check("row_count"), Check("nope", "x")], "orders"))
+    rows = [(c["check"], c["column"], "" if c["observed"].startswith("error") else c["observed"], sent["total"], sent["passed"], sent["failed"], sent["errored"]) for c in sent["failed_checks"]]
+    return spark.createDataFrame(rows, "name string, on_column string, observed string, total int, passed int, failed int, errored int")
+
+
+@query(
+    constants(
+        "place, status, rules",
+        [("whole", "pass", ""), ("empty table", "warn", "sla.availability"), ("no timestamp", "warn", "sla.freshness"), ("no table", "warn", "contract.table"), ("blocked", "fail", "schema.column_missing"), ("quarantined", "fail", "column.range")],
+    ).replace("('no table', 'warn'", "('no table', 'fail'")
+)
+def contract_edges(spark, sf_dir):
+    """Status and rules of contracts that hold, that meet nothing, and that block."""
+    nation = table(spark, sf_dir, "nation")
+    base = Contract("nation", table="nation", columns=(ColumnContract("n_nationkey", "integer", ("not_null", "unique", {"range": {"min": 0}})),))
+    cases = {
+        "whole": (nation, replace(base, sla=Sla(completeness="100%", availability="99%"))), "empty table": (nation.limit(0), replace(base, sla=Sla(availability="99%"))), "no timestamp": (nation, replace(base, sla=Sla(freshness="1d"))),
+        "no table": (None, Contract("none")), "blocked": (nation, replace(base, columns=(ColumnContract("gone", "int"),), on_violation="block")),
+        "quarantined": (nation, replace(base, columns=(ColumnContract("n_nationkey", "integer", ({"range": {"max": 3}},)),), on_violation="quarantine")),
+    }
+    found = [(k, contracts.validate(df, c, AS_OF)) for k, (df, c) in cases.items()]
+    return spark.createDataFrame([(k, f.status, ",".join(v.rule for v in f.violations)) for k, f in found], "place string, status string, rules string")
+
+
+@query("SELECT true AS fewer, true AS some, true AS again")
+def profile_sample(spark, sf_dir):
+    """A profile of a random half of the rows, the same when it is drawn again."""
+    df = table(spark, sf_dir, "lineitem")
+    one, two = (profile.profile(df, columns=["l_linenumber"], sample_percent=50.0) for _ in range(2))
+    return spark.createDataFrame([(one.row_count < df.count(), one.row_count > 0, one.row_count == two.row_count)], "fewer boolean, some boolean, again boolean")
+
+
 _TEXTS = (("90s", 90), ("15m", 900), ("24h", 86400), ("7d", 604800))
 
 

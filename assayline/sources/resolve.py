@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Source
 
-Connector = Callable[[SparkSession, Source], DataFrame]
+
+class Connector(Protocol):
+    """What reads one kind of source, lazily."""
+
+    def __call__(self, spark: SparkSession, source: Source) -> DataFrame: ...
+
 
 #: File functions that a table's name may be, and Spark's reader and options for each.
 FILE_FUNCTIONS = {
