@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that are worked on at once.
-WORKED_ON = 2 << 20
+#: Bytes of text that are worked on at once, and of an Arrow batch while a checkpoint is made.
+WORKED_ON, BATCH_BYTES = 1 << 20, 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder.
 
     The files survive lost executors and Spark deletes them with the frame when
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on. While it is made, Arrow
+    batches are smaller than the session's, whose setting is the same again afterwards.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = WORKED_ON) -> Iterator[pa.RecordBatch]:

@@ -290,15 +290,15 @@ def _between_trees(shared: DataFrame, labels: DataFrame, vertices: DataFrame, te
     )
     block, own = ["unit", "qb", "db", "role"], ["u", "label", "n", "sig"]
 
-    def gathered_by_block(df: DataFrame) -> DataFrame:
-        return df.repartition("unit", "qb", "db").sortWithinPartitions(*block)
-
     met = held.join(few(cut(blocks), BROADCAST_ROWS), "unit").withColumn("at", F.explode(places))
     met = met.select("unit", F.col("at.qb").alias("qb"), F.col("at.db").alias("db"), F.col("at.role").alias("role"), *own)
-    worth = cut(gathered_by_block(met).mapInArrow(_worth(percent), "unit long, qb long, db long, role int, u long, label long, n long, sig binary"))
+    # A unit's blocks are many and alike, so ranges deal them more evenly than hashes do.
+    met = met.repartitionByRange("unit", "qb", "db").sortWithinPartitions(*block)
+    worth = cut(met.mapInArrow(_worth(percent), "unit long, qb long, db long, role int, u long, label long, n long, sig binary"))
     ids = few(cut(vertices.join(worth.select("u").distinct(), "u", "left_semi").select("u", "i", "x")), BROADCAST_ROWS)
     bodies = texts.join(ids, ["i", "x"]).select("u", "t")
-    return cut(gathered_by_block(worth.join(bodies, "u").select(*block, *own, "t")).mapInArrow(_cross(size, percent), "a long, m long").distinct())
+    full = worth.join(bodies, "u").select(*block, *own, "t").repartition("unit", "qb", "db").sortWithinPartitions(*block)
+    return cut(full.mapInArrow(_cross(size, percent), "a long, m long").distinct())
 
 
 def near_duplicates(
