@@ -206,7 +206,8 @@ def _accepted(check: Check) -> list[Any]:
 def _not_accepted(df: DataFrame, check: Check) -> Column:
     """Set, and equal to no listed value as the column's type reads it; what it can't read matches nothing."""
     c, values = quoted(column_of(check)), _accepted(check)
-    kind = df.select(c).schema[0].dataType
+    # Fields of structs are left to the analyser.
+    kind = next((f.dataType for f in df.schema.fields if f.name == column_of(check)), None) or df.select(c).schema[0].dataType
     if kind.typeName() not in ("string", "varchar", "char", "boolean", "date", "timestamp", "timestamp_ntz", "byte", "short", "integer", "long", "float", "double", "decimal"):
         raise CheckError(f"accepted_values can't compare {kind.simpleString()}")
     listed = [F.lit(str(v).lower() if isinstance(v, bool) else str(v)).try_cast(kind) for v in values]
