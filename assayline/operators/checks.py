@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import column_category, duration_text, fraction_of, seconds_between, seconds_of, type_category
 from ..model import Check, Severity, Status
 from . import anomaly
+from .pairs import counted
 
 #: Local part, at sign, host with a top-level domain of letters; ``\z`` so that no line end may follow.
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\z"
@@ -400,7 +401,7 @@ def _query(df: DataFrame, check: Check, ctx: Context) -> DataFrame:
     query = str(check.params.get("query") or "").strip()
     if not query:
         raise CheckError("No query provided. Use custom_sql: SELECT ...")
-    out = ctx.spark.sql(query)
+    out = counted(ctx.spark.sql(query))
     return out.select(out[out.columns[0]].alias("first")).limit(1) if len(set(out.columns)) == len(out.columns) else out.toDF("first", *[f"c{k}" for k in range(1, len(out.columns))]).limit(1)
 
 
